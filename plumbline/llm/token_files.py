@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import cut, texts
 from plumbline.llm.tokens import encoder, slices
 
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
@@ -69,6 +69,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
 
     rows = read_token_files(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file")).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = cut(rows)  # read twice below, from the files once
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("own"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"))
     before = W.orderBy(F.col("nulls").desc(), "least").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("earlier"))  # one row per file
