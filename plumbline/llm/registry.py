@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing, token_files
+from plumbline.llm import ann, packing, simhash, token_files, urls
 from plumbline.llm.common import read_table, scratch_path
 
 
@@ -14,6 +14,40 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+#: The rules of the contract.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read_table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
+
+
+OP6_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+own AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(verdict, rule, h, p) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'),
+  ('block', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+fits AS (
+  SELECT o.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY o.page_id ORDER BY length(r.rule) DESC) AS n
+  FROM own o JOIN rules r ON (o.host = r.h OR ends_with(o.host, '.' || r.h)) AND starts_with(o.path, r.p))
+SELECT o.page_id, o.host, o.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM own o LEFT JOIN fits f ON o.page_id = f.page_id AND f.n = 1
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -25,8 +59,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op6_url_rules, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_rules": OP6_SQL}
