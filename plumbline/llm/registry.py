@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, packing, simhash, token_files, urls
+from plumbline.llm import ann, packing, quality, simhash, token_files, urls
 from plumbline.llm.common import read_table, scratch_path
 
 
@@ -24,6 +24,15 @@ def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    documents = read_table(spark, sf_dir, "documents")
+    model = quality.fit(documents, read_table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
+    scored = quality.score(documents, model, 0.7)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 #: The rules of the contract.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -59,7 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op6_url_rules, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op5_pairwise_quality, op6_url_rules, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
