@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, packing, quality, simhash, token_files, urls
+from plumbline.llm import ann, decontam, lines, packing, quality, simhash, token_files, urls
 from plumbline.llm.common import read_table, scratch_path
 
 
@@ -57,6 +57,17 @@ FROM own o LEFT JOIN fits f ON o.page_id = f.page_id AND f.n = 1
 """
 
 
+def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    out = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
@@ -68,7 +79,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op5_pairwise_quality, op6_url_rules, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op5_pairwise_quality, op6_url_rules, op7_benchmark_windows, op8_line_dedup, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
