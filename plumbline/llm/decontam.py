@@ -74,7 +74,7 @@ def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, simil
     distinct = anchors.select("word", "o", "k", "shingle").distinct()
     small = distinct.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     bound = F.broadcast if small else (lambda df: df)
-    found = texts(documents).select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode("words").alias("at", "word"))
+    found = texts(documents).select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("at", "word"))  # outer: no filter is inferred that would part the text twice
     found = found.join(bound(distinct), "word").where((F.col("at") >= F.col("o")) & (F.array_join(F.slice("words", F.col("at") - F.col("o") + 1, F.col("k")), " ") == F.col("shingle")))
     targets = anchors.select("shingle", "item_id", "n", "m")
     hits = found.select("doc_id", "words", (F.col("at") - F.col("o")).alias("at"), "shingle").join(bound(targets), "shingle")

@@ -31,7 +31,7 @@ def _words(line: Column) -> Column:
 
 def rarity_levels(documents: DataFrame) -> list[int]:
     """For each of the hash buckets a level that grows with the logarithm of its words' count, over all documents."""
-    words = texts(documents).select(F.explode(_words(F.col("text"))).alias("w"))
+    words = texts(documents).select(F.explode_outer(_words(F.col("text"))).alias("w"))  # outer: no filter is inferred that would part the text twice
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
     for r in counts.select("bucket", F.floor(4 * F.log2(F.col("n") + 1)).alias("level")).collect():  # at most BUCKETS rows
@@ -50,7 +50,7 @@ def _token_keys(line: Column, levels: list[int]) -> Column:
 
 def line_classes(documents: DataFrame) -> DataFrame:
     """line and its first place (doc_id, pos), of every distinct line with words."""
-    every = texts(documents).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    every = texts(documents).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
 
 

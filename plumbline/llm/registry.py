@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, decontam, lines, packing, quality, simhash, token_files, urls
+from plumbline.llm import ann, decontam, lines, packing, pii, quality, simhash, token_files, urls
 from plumbline.llm.common import read_table, scratch_path
 
 
@@ -24,6 +24,10 @@ def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -79,7 +83,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op5_pairwise_quality, op6_url_rules, op7_benchmark_windows, op8_line_dedup, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op4_personal_data, op5_pairwise_quality, op6_url_rules, op7_benchmark_windows, op8_line_dedup, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
