@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, decontam, lines, packing, pii, quality, simhash, token_files, urls
+from plumbline.llm import ann, decontam, lines, packing, pii, quality, simhash, substrings, token_files, urls
 from plumbline.llm.common import read_table, scratch_path
 
 
@@ -20,6 +20,10 @@ def op1_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(read_table(spark, sf_dir, "documents"), window=35)
+
+
 def op3_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -83,7 +87,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope, op3_covering_simhash, op4_personal_data, op5_pairwise_quality, op6_url_rules, op7_benchmark_windows, op8_line_dedup, op9_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op1_cross_polytope, op2_substring_dedup, op3_covering_simhash, op4_personal_data, op5_pairwise_quality, op6_url_rules, op7_benchmark_windows, op8_line_dedup, op9_best_fit_packing, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
