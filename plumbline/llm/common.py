@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
 def texts(documents: DataFrame) -> DataFrame:
     """doc_id and text alone (null text: empty), so that no extra column can clash with an internal name."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a compressed table in the shared folder, for results that are large or read with few of their columns."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's objects for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)

@@ -7,13 +7,12 @@ An automaton over a shard of reference texts gives, for a text streamed through
 the longest match that ends there, and with occurrence counts whether the last `window` words occur twice; the
 union of such windows is the maximal spans to remove. With a given reference of bounded size (remove_reference_spans)
 the shards' automata are broadcast. Where the reference is the corpus itself no broadcast has a size bound and each
-text would pass every shard, so shards are dealt out by content instead: of the 18-word runs in a window the one
+text would pass every shard, so shards are dealt out by content instead: of the 10-word runs in a window the one
 with the least hash is its anchor, equal windows have equal anchors, and runs of windows with one anchor
-(pieces of up to 52 words) meet in the shard of that anchor. Only anchors seen twice have pieces at all.
+(pieces of up to 60 words) meet in the shard of that anchor. Only anchors seen twice have pieces at all.
 
-Equal pieces are counted before they are dealt. An anchor with more than HOT different pieces around it isn't
-given to one automaton: its windows are dealt one by one, by their 128-bit digests. So no anchor, however frequent, is
-one task's work.
+An anchor that occurs more than HOT times isn't given to one automaton: its pieces are counted, and the windows of the
+different ones are dealt one by one, by their 128-bit digests. So no anchor, however frequent, is one task's work.
 
 Words are runs without the six ASCII spaces, compared as they are. Null and empty texts have no words. Rows of
 one doc_id are documents of their own; a repeated row's windows start in both. Empty tables give an empty
@@ -27,11 +26,11 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, texts
+from plumbline.llm.common import cut, release, stored, texts
 
-#: Words of the run that anchors a window (at most the window).
-ANCHOR = 18
-#: Different pieces of one anchor up to which one automaton takes them.
+#: Words of the run that anchors a window (at most the window): shorter ones are fewer, but more are seen twice by chance.
+ANCHOR = 10
+#: Pieces of one anchor up to which one automaton takes them.
 HOT = 2_000
 #: Words of the automata that are broadcast at once, and of one shard.
 BROADCAST_WORDS, SHARD_WORDS = 2_000_000, 250_000
@@ -194,7 +193,7 @@ def _sites(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _pieces(with_sites: DataFrame, window: int) -> DataFrame:
-    """anchor, piece, digest and place of every run of windows listed for a document."""
+    """anchor, piece, digest, place and heat of every run of windows listed for a document."""
 
     def run(batches):
         import pyarrow as pa
@@ -207,12 +206,12 @@ def _pieces(with_sites: DataFrame, window: int) -> DataFrame:
                     words = words_of(text)
                     for site in sites:
                         piece = b" ".join(words[site["lo"] : site["lo"] + site["n"] + window - 1])
-                        rows.append((site["anchor"], piece, hashlib.blake2b(piece, digest_size=16).digest(), d, h, site["lo"]))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "piece", "digest", "d", "h", "lo"])
+                        rows.append((site["anchor"], piece, hashlib.blake2b(piece, digest_size=16).digest(), d, h, site["lo"], site["hot"]))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "piece", "digest", "d", "h", "lo", "hot"])
 
-    return with_sites.mapInArrow(run, "anchor long, piece binary, digest binary, d long, h long, lo int")
+    return with_sites.mapInArrow(run, "anchor long, piece binary, digest binary, d long, h long, lo int, hot boolean")
 
 
 _FLAGS = "digest binary, s array<int>, e array<int>"
@@ -225,24 +224,27 @@ def _flag_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([[x for x, _ in r[1]] for r in rows], ints), pa.array([[y for _, y in r[1]] for r in rows], ints)], ["digest", "s", "e"])
 
 
-def _shards(distinct: DataFrame, window: int) -> DataFrame:
-    """Flagged ranges of each different piece; distinct: anchor, digest, piece, n (how often), sorted by anchor."""
+def _shards(pieces: DataFrame, window: int) -> DataFrame:
+    """Flagged ranges of each different piece; pieces: anchor, digest, piece, sorted by anchor and digest."""
 
     def group(rows):
-        if len(rows) == 1:
-            _, digest, piece, n = rows[0]
+        kinds: dict[bytes, list] = {}
+        for _, digest, piece in rows:
+            kinds.setdefault(digest, [piece, 0])[1] += 1
+        if len(kinds) == 1:
+            ((digest, (piece, n)),) = kinds.items()
             return [(digest, [(0, piece.count(b" ") + 1)])] if n > 1 else []
-        automaton, split = Automaton(), [r[2].split(b" ") for r in rows]
-        for words, r in zip(split, rows, strict=True):
-            automaton.add(words, min(r[3], 2))
-        found = [(r[1], automaton.spans(words, window, 2)) for words, r in zip(split, rows, strict=True)]
+        automaton, split = Automaton(), {digest: piece.split(b" ") for digest, (piece, _) in kinds.items()}
+        for digest, words in split.items():
+            automaton.add(words, kinds[digest][1])
+        found = [(digest, automaton.spans(words, window, 2)) for digest, words in split.items()]
         return [f for f in found if f[1]]
 
     def run(batches):
         held = []
         for b in batches:
             out = []
-            for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if held and held[-1][0] != r[0]:
                     out += group(held)
                     held = []
@@ -251,7 +253,7 @@ def _shards(distinct: DataFrame, window: int) -> DataFrame:
         if held:
             yield _flag_batch(group(held))
 
-    return distinct.select("anchor", "digest", "piece", "n").mapInArrow(run, _FLAGS)
+    return pieces.select("anchor", "digest", "piece").mapInArrow(run, _FLAGS)
 
 
 def _hot_shards(distinct: DataFrame, window: int) -> DataFrame:
@@ -277,19 +279,22 @@ def _hot_shards(distinct: DataFrame, window: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, window: int = 35) -> DataFrame:
     """d, h (see _keyed) and the ranges s[i], e[i] of words, possibly overlapping, that repeated windows cover."""
     anchor = min(ANCHOR, window)
+    spark = documents.sparkSession
     docs = _keyed(documents)
-    sites = _sites(docs, window, anchor)
-    twice = sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    chosen = cut(sites.join(twice, "anchor", "left_semi").groupBy("d", "h").agg(F.collect_set(F.struct("anchor", "lo", "n")).alias("sites")))  # of one document
-    pieces = _pieces(docs.select("d", "h", "text").join(chosen, ["d", "h"]).select("d", "h", "text", "sites"), window)
-    distinct = pieces.groupBy("anchor", "digest", "piece").agg(F.count("*").alias("n"))
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("g"))
-    hot = sizes.where(F.col("g") > HOT).select("anchor")
-    normal = distinct.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "digest")
-    flags = cut(_shards(normal, window).unionByName(_hot_shards(distinct.join(hot, "anchor", "left_semi"), window)))
+    sites = stored(_sites(docs, window, anchor), "substring-sites")
+    twice = sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot"))
+    chosen = cut(sites.join(twice, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("anchor", "lo", "n", "hot")).alias("sites")))  # of one document
+    release(spark)
+    pieces = stored(_pieces(docs.select("d", "h", "text").join(chosen, ["d", "h"]).select("d", "h", "text", "sites"), window), "substring-pieces")
+    release(spark)
+    normal = pieces.where("NOT hot").select("anchor", "digest", "piece").repartition("anchor").sortWithinPartitions("anchor", "digest")
+    counted = pieces.where("hot").groupBy("digest", "piece").agg(F.count("*").alias("n"))
+    flags = cut(_shards(normal, window).unionByName(_hot_shards(counted, window)))
     placed = pieces.select("digest", "d", "h", "lo").join(flags, "digest")
     moved = placed.select("d", "h", F.transform("s", lambda x: x + F.col("lo")).alias("s"), F.transform("e", lambda x: x + F.col("lo")).alias("e"))
-    return moved.groupBy("d", "h").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e"))  # of one document
+    spans = cut(moved.groupBy("d", "h").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e")))  # of one document
+    release(spark)
+    return spans
 
 
 def _removed(joined: DataFrame, text: bool) -> DataFrame:

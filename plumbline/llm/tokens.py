@@ -6,7 +6,9 @@ tokens' strings) go through the tokenizers library.
 
 Words: a vocabulary whose pre-tokenizer drops white space gives a text the ids of its words in a row, so each
 distinct word is encoded once per worker, by the tokenizers library, and kept in a bounded cache. Unknown words
-are encoded many at a time, as one text with a separator that is a token of its own.
+are encoded many at a time as one text. Words of Latin letters alone are one piece each whatever stands around them; they
+skip the file's normalizer and pre-tokenizer (their effect on such words is plain: composed form, lower case), and
+a full stop or comma after them is a piece of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import json
 import re
 
 #: Words in each of a worker's two generations of cached words.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
 #: Longer words are encoded each time.
 LONGEST_CACHED = 40
 #: The pattern that parts texts before byte-level merges (a fixed value of such vocabularies).
@@ -72,9 +74,21 @@ class Words:
     _odd = re.compile(r"[\x1c-\x1f]|<\|")  # what str.split() takes for white space and the vocabulary does not; special tokens
 
     def __init__(self, path: str):
+        import numpy as np
+        from tokenizers import pre_tokenizers
+
         self.library = _library(path)
         self.separator = "\x07"
         self.separator_id = self.library.encode(self.separator, add_special_tokens=False).ids
+        #: The same merges on words that are normalized and mapped to byte symbols already.
+        self.lean = _library(path)
+        self.lean.normalizer = None
+        self.lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.symbols = {b: c for c, b in byte_symbols().items() if c != "\u0120"}  # but the space, which parts words
+        vocab = self.lean.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self._whole([m])[0] for m in ".,"}
         #: Two generations: when the young one is full it becomes the old one, and what is used again moves back.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -94,12 +108,49 @@ class Words:
         data = ids.tobytes()
         return [data[s:e] for s, e in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of lower-case words of Latin letters."""
+        import numpy as np
+
+        if not words:
+            return []
+        mapped = " ".join(words).encode().decode("latin-1").translate(self.symbols)
+        ids = np.asarray(self.lean.encode(mapped, add_special_tokens=False).ids, dtype="<u4")
+        ends = (4 * (np.nonzero(self.ends_word[ids])[0] + 1)).tolist()
+        if len(ends) != len(words):
+            return self._whole(words)
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _find(self, missing: set[str]) -> dict[str, bytes]:
-        found = {k: self.old[k] for k in missing if k in self.old}
-        new = [k for k in missing if k not in found]
-        plain = [k for k in new if self.separator not in k]
-        other = [k for k in new if self.separator in k]
-        return found | dict(zip(plain, self._joined(plain), strict=True)) | dict(zip(other, self._whole(other), strict=True))
+        old, found, letters, other = self.old, {}, {}, []
+        for k in missing:
+            if (i := old.get(k)) is not None:
+                found[k] = i
+                continue
+            stem, mark = (k[:-1], k[-1]) if k[-1] in ".," else (k, "")
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                letters[k] = (stem if stem.isascii() and stem.islower() else stem.lower(), mark)
+            else:
+                other.append(k)
+        stems = [w for w in {w for w, _ in letters.values()} if w not in found]
+        young, known = self.young, {}
+        new = []
+        for w in stems:
+            i = young.get(w) or old.get(w)
+            if i is None:
+                new.append(w)
+            else:
+                known[w] = i
+        known.update(zip(new, self._letters(new), strict=True))
+        for k, (w, mark) in letters.items():
+            i = found[w] if w in found else known[w]
+            found[k] = i + self.marks[mark] if mark else i
+        plain = [k for k in other if self.separator not in k]
+        rest = [k for k in other if self.separator in k]
+        found.update(zip(plain, self._joined(plain), strict=True))
+        found.update(zip(rest, self._whole(rest), strict=True))
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         keys = [None if self._odd.search(t) else (t.lower() if t.isascii() else t).split() for t in texts]
