@@ -180,3 +180,108 @@ def simhash_components(documents: DataFrame, words: int = 3, radius: int = 3) ->
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = classes.join(least, "component").select("fp", "component_id")
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- Near-duplicate documents by similarity, with the same tables as candidates' source
+
+#: Independent fingerprints of a document's set of words. One edited word changes five shingles but one word, so at
+#: a shingle similarity of 0.8 these differ in 4 or 5 of 64 bits, and a pair meets in one of four with chance 0.97.
+GROUPS = 4
+#: Links between colliding fingerprints are verified up to this distance.
+WITHIN = 12
+
+
+def _word_prints(words: list[bytes]):
+    import numpy as np
+    import xxhash
+
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    out = []
+    for g in range(GROUPS):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * (g + 1)) & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
+def _prints(documents: DataFrame) -> DataFrame:
+    """doc_id, digest (of the lower-case words in their order) and fps of every row."""
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            digests, fps = [], []
+            for t in b.column(1).to_pylist():
+                words = t.encode("utf-8", "surrogatepass").lower().split()
+                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                fps.append(np.array(_word_prints(words), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "digest", "fps"])
+
+    return texts(documents).mapInArrow(run, "doc_id long, digest binary, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """id and the sorted distinct hashes of its shingles, as bytes; docs: id, text."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(_shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "set"])
+
+    return docs.mapInArrow(run, "id long, set binary")
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs (u, v, su, sv) whose sets have the Jaccard similarity or more."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            keep = []
+            for a, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64)
+                o = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(o >= similarity * (len(x) + len(y) - o) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """doc_id, component_id (the least doc_id of its group), one row per row of documents that has a doc_id.
+
+    Candidates are pairs of fingerprints that covering tables bring together; each is verified on the documents'
+    sets of shingles, and groups are the components of verified pairs. Texts of the same words (letter case
+    aside) are one class and one node. Rows of one doc_id are placed together.
+    """
+    prints = cut(_prints(documents.where("doc_id IS NOT NULL")))
+    classes = cut(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "fps")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.posexplode("x.fps").alias("g", "fp")))
+    by_print = classes.groupBy("g", "fp").agg(F.min("id").alias("id"))
+    links = covering_links(by_print.select("g", "fp"), radius, WITHIN)
+    heads = by_print.select("g", "fp", "id")
+    linked = links.join(heads.select("g", F.col("fp").alias("u"), F.col("id").alias("a")), ["g", "u"]).join(heads.select("g", F.col("fp").alias("v"), F.col("id").alias("b")), ["g", "v"]).select("a", "b")
+    same = classes.join(heads.select("g", "fp", F.col("id").alias("b")), ["g", "fp"]).select(F.col("id").alias("a"), "b")
+    pairs = cut(linked.unionByName(same).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    docs = texts(documents).select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    sets = cut(_shingle_sets(docs, words).groupBy("id").agg(F.min("set").alias("set")))
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
+    named = connected_components(_alike(both, similarity))
+    ids = classes.where("g = 0").select("digest", "id")
+    least = ids.join(named.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(least, "digest").select("doc_id", "component_id")
+
+
+def keep_first(documents: DataFrame, **options) -> DataFrame:
+    """The rows of documents, all their columns, but for those of a group whose least doc_id is another. Rows without doc_id stay."""
+    gone = near_duplicates(documents, **options).groupBy("doc_id").agg(F.min(F.col("component_id")).alias("c")).where("c <> doc_id").select(F.col("doc_id").alias("__gone"))
+    return documents.join(gone, documents["doc_id"].cast("long") == F.col("__gone"), "left_anti")
