@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, cut, texts
+from plumbline.llm.common import SPACE_RUN, cut, release, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
 #: Buckets of word counts: the table of their levels has this fixed size, whatever the corpus.
@@ -26,12 +26,20 @@ BUCKETS = 1 << 16
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.trim(line, F.lit(_SPACES)), SPACE_RUN)
+    """The words of a line and perhaps empty strings. One plain space is parted without a regular expression."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.split(F.when(odd, F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line), " ")
+
+
+def _hashes(line: Column) -> Column:
+    """XXH64 of the distinct words of a line; the empty string is no word."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def rarity_levels(documents: DataFrame) -> list[int]:
     """For each of the hash buckets a level that grows with the logarithm of its words' count, over all documents."""
-    words = texts(documents).select(F.explode_outer(_words(F.col("text"))).alias("w"))  # outer: no filter is inferred that would part the text twice
+    lines = texts(documents).select(F.explode_outer(F.split("text", "\n")).alias("line"))  # outer: no filter is inferred that would part the text twice
+    words = lines.select(F.explode_outer(_words(F.col("line"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     levels = [0] * BUCKETS
     for r in counts.select("bucket", F.floor(4 * F.log2(F.col("n") + 1)).alias("level")).collect():  # at most BUCKETS rows
@@ -41,55 +49,65 @@ def rarity_levels(documents: DataFrame) -> list[int]:
 
 def _token_keys(line: Column, levels: list[int]) -> Column:
     """The distinct words of a line as longs whose order is that of rarity: level, then hash."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # folded to a literal
     level = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    keyed = F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(level(h), 54).bitwiseOR(F.shiftrightunsigned(h, 10)))
+    keyed = F.transform(_hashes(line), lambda h: F.shiftleft(level(h), 54).bitwiseOR(F.shiftrightunsigned(h, 10)))
     return F.sort_array(keyed)
 
 
+def _place(doc_id: Column, pos: Column) -> Column:
+    """doc_id and line number as one ordered number, of a type that hash aggregates can update in place; null doc_ids come first."""
+    return (F.coalesce(doc_id, F.lit(-(1 << 63))).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + pos).cast("decimal(38,0)")
+
+
 def line_classes(documents: DataFrame) -> DataFrame:
-    """line and its first place (doc_id, pos), of every distinct line with words."""
+    """line and its first place, of every distinct line with words."""
     every = texts(documents).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(_place(F.col("doc_id"), F.col("pos"))).alias("place"))
 
 
-def repeated_classes(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The first places (doc_id, pos) of classes to which an earlier class is similar enough."""
-    levels = rarity_levels(documents)
+def repeated_places(classes: DataFrame, levels: list[int], similarity: float = 0.8) -> DataFrame:
+    """The places of classes (line, place) to which an earlier class is similar enough."""
     t = F.lit(similarity)
-    classes = line_classes(documents)
-    sets = classes.select(F.col("first.doc_id").alias("d"), F.col("first.pos").alias("p"), _token_keys(F.col("line"), levels).alias("x"))
+    sets = classes.select("place", _token_keys(F.col("line"), levels).alias("x"))
     n = F.size("x")
-    prefix = sets.select("d", "p", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(t * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
+    prefix = sets.select("place", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(t * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
     a, b = prefix.alias("a"), prefix.alias("b")
     need = F.ceil(t / (1 + t) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9))
     room = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    earlier = (F.col("a.d") < F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.p") < F.col("b.p")))
     fits = (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - F.lit(1e-9)) & (room >= need)
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & earlier & fits).select(F.col("a.d").alias("d1"), F.col("a.p").alias("p1"), F.col("b.d").alias("d2"), F.col("b.p").alias("p2")).distinct()
+    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("d1").alias("d"), F.col("p1").alias("p")).unionByName(pairs.select(F.col("d2").alias("d"), F.col("p2").alias("p"))).distinct()
-    # The candidates' own lines, taken from their documents: only these are parted into words again.
-    lists = wanted.groupBy("d").agg(F.collect_list("p").alias("ps"))
-    own = texts(documents).join(lists, F.col("doc_id") == F.col("d")).select("d", F.explode("ps").alias("p"), F.split("text", "\n").alias("ls"))
-    own = own.select("d", "p", F.get("ls", F.col("p")).alias("line")).where("line IS NOT NULL")
-    own = own.select("d", "p", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("x"))
-    one, two = own.select(F.col("d").alias("d1"), F.col("p").alias("p1"), F.col("x").alias("x1")), own.select(F.col("d").alias("d2"), F.col("p").alias("p2"), F.col("x").alias("x2"))
-    both = pairs.join(one, ["d1", "p1"]).join(two, ["d2", "p2"]).withColumn("o", F.size(F.array_intersect("x1", "x2")))
+    release(classes.sparkSession)
+    # Only the candidates' lines are parted into words again.
+    wanted = pairs.select(F.col("p1").alias("place")).unionByName(pairs.select(F.col("p2").alias("place"))).distinct()
+    own = classes.join(wanted, "place", "left_semi").select("place", _hashes(F.col("line")).alias("x"))
+    own = cut(own)
+    both = pairs.join(own.select(F.col("place").alias("p1"), F.col("x").alias("x1")), "p1").join(own.select(F.col("place").alias("p2"), F.col("x").alias("x2")), "p2")
+    both = both.withColumn("o", F.size(F.array_intersect("x1", "x2")))
     alike = both.where(F.col("o") >= t * (F.size("x1") + F.size("x2") - F.col("o")) - F.lit(1e-9))
-    return alike.select(F.col("d2").alias("doc_id"), F.col("p2").alias("pos")).distinct()
+    return alike.select(F.col("p2").alias("place")).distinct()
 
 
 def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """documents, all their columns, with text without the lines that go, and __n_lines, __n_removed."""
-    gone = repeated_classes(documents, similarity)
-    firsts = line_classes(documents).select("first.doc_id", "first.pos")
-    kept = firsts.join(gone, ["doc_id", "pos"], "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("__kept")).select(F.col("doc_id").alias("__doc"), "__kept")
-    joined = documents.join(kept, documents["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
+    spark = documents.sparkSession
+    levels = rarity_levels(documents)
+    classes = stored(line_classes(documents), "line-classes")
+    release(spark)
+    gone = cut(repeated_places(classes, levels, similarity))
+    release(spark)
+    stay = classes.select("place").join(gone, "place", "left_anti")
+    step = F.lit(1 << 31).cast("decimal(11,0)")
+    doc = F.floor(F.col("place") / step).cast("decimal(38,0)")
+    kept = stay.select(doc.alias("__doc"), (F.col("place") - doc * step).cast("int").alias("pos")).groupBy(F.col("__doc").cast("long").alias("__doc")).agg(F.collect_list("pos").alias("__kept"))
+    joined = documents.join(kept, F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__doc"), "left").drop("__doc")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i), F.lit(_SPACES)) == "")
-    stay = F.array_intersect(F.sequence(F.lit(0), F.size(lines) - 1), F.concat(F.coalesce("__kept", F.array().cast("array<int>")), blank))
-    out = joined.withColumn("__stay", stay).withColumn("__n_lines", F.size(lines)).withColumn("__n_removed", F.col("__n_lines") - F.size("__stay"))
+    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    blank = F.filter(numbers, lambda i: F.trim(F.get(lines, i), F.lit(_SPACES)) == "")
+    # Nothing is computed for the documents of which every line stays, but for a count.
+    rest = F.array_intersect(numbers, F.concat(F.coalesce("__kept", F.array().cast("array<int>")), blank))
+    out = joined.withColumn("__n_lines", F.size(lines)).withColumn("__stay", F.when(F.size(F.coalesce("__kept", F.array().cast("array<int>"))) < F.col("__n_lines"), rest))
+    out = out.withColumn("__n_removed", F.when(F.col("__stay").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__stay")))
     text = F.when(F.col("__n_removed") == 0, F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get(lines, i)), "\n"))
     return out.withColumn("text", text).drop("__stay", "__kept")
