@@ -282,7 +282,8 @@ def repeated_spans(documents: DataFrame, window: int = 35) -> DataFrame:
     spark = documents.sparkSession
     docs = _keyed(documents)
     sites = stored(_sites(docs, window, anchor), "substring-sites")
-    twice = sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot"))
+    # Cut, so that the join reads two plain exchanges, of which Spark can split the partition of a frequent anchor.
+    twice = cut(sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot")))
     chosen = cut(sites.join(twice, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("anchor", "lo", "n", "hot")).alias("sites")))  # of one document
     release(spark)
     pieces = stored(_pieces(docs.select("d", "h", "text").join(chosen, ["d", "h"]).select("d", "h", "text", "sites"), window), "substring-pieces")
