@@ -56,5 +56,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so when the driver's objects for them are collected."""
     gc.collect()
+    time.sleep(1.5)  # Python's references reach the driver's JVM by a thread that looks for them once a second
     spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
+    time.sleep(0.7)
