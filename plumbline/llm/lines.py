@@ -1,101 +1,138 @@
 """Line dedup by an exact set-similarity join (operator 8). DataFrame functions only.
 
-A line goes if any earlier line (by doc_id, then line number) has a Jaccard similarity of its set of words of at
-least the threshold; equal lines are the case of 1. Lines without words stay.
-
-Equal lines are one class, placed at its first line; classes are joined. Words are ordered by rarity: how often
-words of the same 16 hash bits occur in the corpus (in steps of a quarter of a doubling), then the hash. By that order any two sets similar enough share
-a word among the first n - ceil(t n) + 1 of each (prefix filter), where their sizes differ little enough
-(length filter) and enough words can follow in both (positional filter). Pairs that pass are verified on the whole sets.
-Words are compared by their XXH64 (its upper 54 bits where candidates are sought).
-
-Null texts have no lines. Rows of the same doc_id are one document for line numbers, their lines in doubt equal
-in place: a line is kept in each such row or none. Empty tables give an empty result; other columns stay.
+A line's tokens are its word five-shingles (of fewer words, the whole line). A line goes if any earlier line (by
+doc_id, then line number) has a Jaccard similarity of tokens of at least the threshold; equal lines are the case of 1.
+Lines without words stay.
+
+Equal lines are one class, placed at its first line; classes are joined. Tokens are ordered by rarity: those of
+buckets that are frequent among prefixes come last, the others by their hash, which is an order as good as any among
+tokens that hardly occur. By one such order for all lines, any two sets similar enough share a token among the first
+n - ceil(t n) + 1 of each (prefix filter), where their sizes differ little enough (length filter) and enough tokens can
+be shared before and after it (positional filter). Pairs that pass are verified on the whole sets.
+
+A line needs one earlier match, so each is first verified against the first and the previous line of its tokens'
+postings, which is linear; only lines that none of those matches are joined with all that come before. A dense group
+of near copies thus doesn't make pairs by the square.
+
+Null texts have no lines. Rows of one doc_id count as one document for line numbers: of lines with the same place,
+all stay or all go. Null doc_ids come first. Empty tables give an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPACE_RUN, cut, release, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
-#: Buckets of word counts: the table of their levels has this fixed size, whatever the corpus.
-BUCKETS = 1 << 16
+SHINGLE = 5
+#: Buckets of token counts: the table of frequent ones has this fixed size, whatever the corpus.
+BUCKETS = 1 << 14
+#: A bucket is frequent beyond so many prefix tokens, and so many times the mean.
+FREQUENT, TIMES_MEAN = 200, 4
 
 
 def _words(line: Column) -> Column:
-    """The words of a line and perhaps empty strings. One plain space is parted without a regular expression."""
-    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
-    return F.split(F.when(odd, F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line), " ")
-
+    """The words of a line and perhaps empty strings. Plain spaces are parted without a regular expression."""
+    odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c") | line.contains("  ")
+    return F.split(F.trim(F.when(odd, F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line)), " ")
 
-def _hashes(line: Column) -> Column:
-    """XXH64 of the distinct words of a line; the empty string is no word."""
-    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
+def _tokens(line: Column) -> Column:
+    """XXH64 of the distinct shingles of a line."""
+    w = _words(line)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
 
-def rarity_levels(documents: DataFrame) -> list[int]:
-    """For each of the hash buckets a level that grows with the logarithm of its words' count, over all documents."""
-    lines = texts(documents).select(F.explode_outer(F.split("text", "\n")).alias("line"))  # outer: no filter is inferred that would part the text twice
-    words = lines.select(F.explode_outer(_words(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
-    levels = [0] * BUCKETS
-    for r in counts.select("bucket", F.floor(4 * F.log2(F.col("n") + 1)).alias("level")).collect():  # at most BUCKETS rows
-        levels[r.bucket] = r.level
-    return levels
 
-
-def _token_keys(line: Column, levels: list[int]) -> Column:
-    """The distinct words of a line as longs whose order is that of rarity: level, then hash."""
-    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")  # folded to a literal
-    level = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    keyed = F.transform(_hashes(line), lambda h: F.shiftleft(level(h), 54).bitwiseOR(F.shiftrightunsigned(h, 10)))
-    return F.sort_array(keyed)
+def _bucket(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _place(doc_id: Column, pos: Column) -> Column:
-    """doc_id and line number as one ordered number, of a type that hash aggregates can update in place; null doc_ids come first."""
+    """doc_id and line number as one ordered number, of a type that hash aggregates can update in place."""
     return (F.coalesce(doc_id, F.lit(-(1 << 63))).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + pos).cast("decimal(38,0)")
 
 
 def line_classes(documents: DataFrame) -> DataFrame:
     """line and its first place, of every distinct line with words."""
-    every = texts(documents).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    every = texts(documents).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))  # outer: no filter is inferred that would part the text twice
     return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(_place(F.col("doc_id"), F.col("pos"))).alias("place"))
 
 
-def repeated_places(classes: DataFrame, levels: list[int], similarity: float = 0.8) -> DataFrame:
-    """The places of classes (line, place) to which an earlier class is similar enough."""
-    t = F.lit(similarity)
-    sets = classes.select("place", _token_keys(F.col("line"), levels).alias("x"))
+def _prefixes(classes: DataFrame, t: float, frequent: list[int] | None = None) -> DataFrame:
+    """place, n, i, tok: the prefix of every class; frequent: a flag for each bucket whose tokens come last."""
+    x = F.sort_array(_tokens(F.col("line")))
+    if frequent:
+        table = F.split(F.lit(",".join(map(str, frequent))), ",").cast("array<int>")  # folded to a literal
+        hot = lambda h: F.get(table, _bucket(h)) == 1
+        x = F.concat(F.filter(x, lambda h: ~hot(h)), F.filter(x, hot))
+    sets = classes.select("place", x.alias("x"))
     n = F.size("x")
-    prefix = sets.select("place", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(t * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    need = F.ceil(t / (1 + t) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-9))
-    room = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
-    fits = (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n") - F.lit(1e-9)) & (room >= need)
-    pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
-    pairs = cut(pairs)
-    release(classes.sparkSession)
-    # Only the candidates' lines are parted into words again.
+    return sets.select("place", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
+
+
+def ordered_prefixes(classes: DataFrame, t: float) -> DataFrame:
+    """Prefixes in the order of rarity. Where a line's prefix by hash alone holds no frequent token, it is that of the order."""
+    plain = stored(_prefixes(classes, t), "line-prefixes")
+    counts = plain.groupBy(_bucket(F.col("tok")).alias("b")).agg(F.count("*").alias("c")).collect()  # at most BUCKETS rows
+    most = max(FREQUENT, TIMES_MEAN * sum(r.c for r in counts) / BUCKETS)
+    hot = {r.b for r in counts if r.c > most}
+    if not hot:
+        return plain
+    flags = [int(b in hot) for b in range(BUCKETS)]
+    table = F.split(F.lit(",".join(map(str, flags))), ",").cast("array<int>")
+    touched = cut(plain.where(F.get(table, _bucket(F.col("tok"))) == 1).select("place").distinct())
+    again = _prefixes(classes.join(touched, "place", "left_semi"), t, flags)
+    return stored(plain.join(touched, "place", "left_anti").unionByName(again), "line-prefixes")
+
+
+def _need(n1: Column, n2: Column, t: float) -> Column:
+    return F.ceil(F.lit(t / (1 + t)) * (n1 + n2) - F.lit(1e-9))
+
+
+def _fits(n1: Column, i1: Column, n2: Column, i2: Column, t: float) -> Column:
+    """Length and positional filters of a shared token at places i1 and i2 of sets of n1 and n2."""
+    room = 1 + F.least(i1, i2) + F.least(n1 - i1, n2 - i2) - 1
+    return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """The places p2 of pairs (p1, p2) that are similar enough. Only the candidates' lines are parted into tokens again."""
     wanted = pairs.select(F.col("p1").alias("place")).unionByName(pairs.select(F.col("p2").alias("place"))).distinct()
-    own = classes.join(wanted, "place", "left_semi").select("place", _hashes(F.col("line")).alias("x"))
-    own = cut(own)
+    own = cut(classes.join(wanted, "place", "left_semi").select("place", _tokens(F.col("line")).alias("x")))
     both = pairs.join(own.select(F.col("place").alias("p1"), F.col("x").alias("x1")), "p1").join(own.select(F.col("place").alias("p2"), F.col("x").alias("x2")), "p2")
     both = both.withColumn("o", F.size(F.array_intersect("x1", "x2")))
-    alike = both.where(F.col("o") >= t * (F.size("x1") + F.size("x2") - F.col("o")) - F.lit(1e-9))
-    return alike.select(F.col("p2").alias("place")).distinct()
+    return cut(both.where(F.col("o") >= F.lit(t) * (F.size("x1") + F.size("x2") - F.col("o")) - F.lit(1e-9)).select(F.col("p2").alias("place")).distinct())
+
+
+def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The places of classes (line, place) to which an earlier class is similar enough."""
+    t, spark = similarity, classes.sparkSession
+    prefixes = ordered_prefixes(classes, t)
+    release(spark)
+    order = W.partitionBy("tok").orderBy("place")
+    me = F.struct("place", "n", "i")
+    near = prefixes.select("tok", "place", "n", "i", F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b")).where("a IS NOT NULL")
+    near = near.select("place", "n", "i", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("n"), F.col("i"), t))
+    first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
+    release(spark)
+    settled = _verified(first, classes, t)
+    a, b = prefixes.alias("a"), prefixes.join(settled, "place", "left_anti").alias("b")
+    fits = _fits(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"), t)
+    rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
+    rest = cut(rest.join(first, ["p1", "p2"], "left_anti"))
+    release(spark)
+    return settled.unionByName(_verified(rest, classes, t))
 
 
 def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """documents, all their columns, with text without the lines that go, and __n_lines, __n_removed."""
     spark = documents.sparkSession
-    levels = rarity_levels(documents)
     classes = stored(line_classes(documents), "line-classes")
     release(spark)
-    gone = cut(repeated_places(classes, levels, similarity))
+    gone = cut(repeated_places(classes, similarity))
     release(spark)
     stay = classes.select("place").join(gone, "place", "left_anti")
     step = F.lit(1 << 31).cast("decimal(11,0)")
@@ -105,9 +142,9 @@ def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
     blank = F.filter(numbers, lambda i: F.trim(F.get(lines, i), F.lit(_SPACES)) == "")
-    # Nothing is computed for the documents of which every line stays, but for a count.
-    rest = F.array_intersect(numbers, F.concat(F.coalesce("__kept", F.array().cast("array<int>")), blank))
-    out = joined.withColumn("__n_lines", F.size(lines)).withColumn("__stay", F.when(F.size(F.coalesce("__kept", F.array().cast("array<int>"))) < F.col("__n_lines"), rest))
+    known = F.coalesce("__kept", F.array().cast("array<int>"))
+    # Nothing more is computed for the documents of which every line stays.
+    out = joined.withColumn("__n_lines", F.size(lines)).withColumn("__stay", F.when(F.size(known) < F.col("__n_lines"), F.array_intersect(numbers, F.concat(known, blank))))
     out = out.withColumn("__n_removed", F.when(F.col("__stay").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__stay")))
     text = F.when(F.col("__n_removed") == 0, F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get(lines, i)), "\n"))
     return out.withColumn("text", text).drop("__stay", "__kept")

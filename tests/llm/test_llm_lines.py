@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pytest
 
 from plumbline.llm import decontam, lines
 
@@ -22,7 +23,8 @@ def brute_lines(rows, t=0.8):
     for d, text in order:
         kept = []
         for line in (text or "").split("\n"):
-            s = set(line.encode().split())
+            w = line.encode().split()
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
             gone = bool(s) and any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen)
             if s:
                 seen.append(s)
@@ -35,13 +37,13 @@ def brute_lines(rows, t=0.8):
 def line_rows():
     rng = np.random.default_rng(9)
     word = lambda n, v: [f"w{int(x ** 2 * v)}" for x in rng.random(n)]
-    base = [word(int(n), 400) for n in rng.integers(1, 40, 25)]
+    base = [word(int(n), 400) for n in rng.integers(1, 70, 25)]
     rows = [(0, None), (1, ""), (2, "\n \n"), (3, "same line here"), (4, "same line here\n\nsame  line\there"), (5, "here line same"), (6, "é😀 x\r\n" + "y " * 500)]
     for i in range(60):
         own = []
         for b in rng.choice(25, rng.integers(1, 6)):
             line = list(base[b])
-            for at in rng.integers(0, len(line), rng.integers(0, 4)):
+            for at in rng.integers(0, len(line), rng.integers(0, 3)):
                 line[at] = word(1, 400)[0]
             own.append(" ".join(line) + (" extra" if rng.random() < 0.2 else ""))
         rows.append((i + 10, "\n".join(own)))
@@ -49,7 +51,9 @@ def line_rows():
     return rows
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("frequent", [200, 2])
+def test_line_dedup_against_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
     rows = line_rows()
     out = lines.dedup_lines(table(spark, rows).repartition(3))
     assert out.columns == ["doc_id", "text", "place", "line", "x", "__n_lines", "__n_removed"]
