@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words in every contract of this subpackage.
@@ -59,3 +59,8 @@ def release(spark: SparkSession) -> None:
     time.sleep(1.5)  # Python's references reach the driver's JVM by a thread that looks for them once a second
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.7)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row: what a lambda refers to from outside is otherwise computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

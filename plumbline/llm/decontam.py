@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, texts
+from plumbline.llm.common import SPACE_RUN, let, texts
 
 #: Hamming radius of the fingerprints. At similarity 0.8 distances are about 10 of 64 bits, with a deviation of 3.
 RADIUS = 20
@@ -40,15 +40,15 @@ def shingles(words: Column, k: int) -> Column:
 
 def simhash(hashes: Column) -> Column:
     """64 bits: bit j is set if it is in over half of the hashes."""
-    bit = lambda j: F.when(2 * F.size(F.filter(hashes, lambda h: F.expr("1") == F.getbit(h, j))) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(bit(j)))
+    set_in = lambda hs, j: F.size(F.filter(hs, lambda h: F.getbit(h, j) == 1))
+    bit = lambda hs, j: F.when(2 * set_in(hs, j) > F.size(hs), F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long"))
+    return let(hashes, lambda hs: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseOR(bit(hs, j))))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of shingles, by counts; by plain set sizes where neither repeats any."""
     count = lambda x, s: F.size(F.filter(x, lambda y: y == s))
-    both = F.array_union(a, b)
-    least = F.aggregate(both, F.lit(0), lambda t, s: t + F.least(count(a, s), count(b, s)))
+    least = F.aggregate(F.array_union(a, b), F.lit(0), lambda t, s: t + F.least(count(a, s), count(b, s)))
     plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
     shared = F.when(plain, F.size(F.array_intersect(a, b))).otherwise(least)
     return shared / (F.size(a) + F.size(b) - shared)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, cut, release, stored, texts
+from plumbline.llm.common import SPACE_RUN, cut, let, release, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
 SHINGLE = 5
@@ -42,8 +42,8 @@ def _words(line: Column) -> Column:
 
 def _tokens(line: Column) -> Column:
     """XXH64 of the distinct shingles of a line."""
-    w = _words(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
+    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+    return F.array_distinct(let(_words(line), shingles))
 
 
 def _bucket(token: Column) -> Column:
@@ -67,7 +67,7 @@ def _prefixes(classes: DataFrame, t: float, frequent: list[int] | None = None) -
     if frequent:
         table = F.split(F.lit(",".join(map(str, frequent))), ",").cast("array<int>")  # folded to a literal
         hot = lambda h: F.get(table, _bucket(h)) == 1
-        x = F.concat(F.filter(x, lambda h: ~hot(h)), F.filter(x, hot))
+        x = let(x, lambda y: F.concat(F.filter(y, lambda h: ~hot(h)), F.filter(y, hot)))
     sets = classes.select("place", x.alias("x"))
     n = F.size("x")
     return sets.select("place", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
@@ -139,12 +139,12 @@ def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     doc = F.floor(F.col("place") / step).cast("decimal(38,0)")
     kept = stay.select(doc.alias("__doc"), (F.col("place") - doc * step).cast("int").alias("pos")).groupBy(F.col("__doc").cast("long").alias("__doc")).agg(F.collect_list("pos").alias("__kept"))
     joined = documents.join(kept, F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__doc"), "left").drop("__doc")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    blank = F.filter(numbers, lambda i: F.trim(F.get(lines, i), F.lit(_SPACES)) == "")
-    known = F.coalesce("__kept", F.array().cast("array<int>"))
+    lines, known = F.split(F.coalesce("text", F.lit("")), "\n"), F.coalesce("__kept", F.array().cast("array<int>"))
+    numbers = lambda ls: F.sequence(F.lit(0), F.size(ls) - 1)
+    blank = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.trim(x, F.lit(_SPACES)) == "", i)), lambda i: i.isNotNull())
     # Nothing more is computed for the documents of which every line stays.
-    out = joined.withColumn("__n_lines", F.size(lines)).withColumn("__stay", F.when(F.size(known) < F.col("__n_lines"), F.array_intersect(numbers, F.concat(known, blank))))
+    stay = let(lines, lambda ls: F.when(F.size(known) < F.size(ls), F.array_intersect(numbers(ls), F.concat(known, blank(ls)))))
+    out = joined.withColumn("__n_lines", F.size(lines)).withColumn("__stay", stay)
     out = out.withColumn("__n_removed", F.when(F.col("__stay").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__stay")))
-    text = F.when(F.col("__n_removed") == 0, F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("__n_removed") == 0, F.col("text")).otherwise(let(lines, lambda ls: F.array_join(F.transform("__stay", lambda i: F.get(ls, i)), "\n")))
     return out.withColumn("text", text).drop("__stay", "__kept")
