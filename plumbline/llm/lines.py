@@ -50,15 +50,38 @@ def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _place(doc_id: Column, pos: Column) -> Column:
-    """doc_id and line number as one ordered number, of a type that hash aggregates can update in place."""
-    return (F.coalesce(doc_id, F.lit(-(1 << 63))).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + pos).cast("decimal(38,0)")
-
-
-def line_classes(documents: DataFrame) -> DataFrame:
+class Places:
+    """(doc_id, line number) as one number in their order: a long where all fit one, else a decimal. Null doc_ids come first."""
+
+    def __init__(self, documents: DataFrame):
+        r = documents.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long")), F.max(F.length("text"))).first()
+        self.least, most, longest = (x or 0 for x in r)
+        self.bits = (longest + 1).bit_length()  # a document has fewer lines than characters, plus one
+        self.long = ((most - self.least + 2) << self.bits) < (1 << 62)
+
+    def of(self, doc_id: Column, pos: Column) -> Column:
+        if self.long:
+            rank = F.coalesce(doc_id - F.lit(self.least) + 1, F.lit(0)).cast("long")
+            return F.shiftleft(rank, self.bits).bitwiseOR(pos.cast("long"))
+        wide = F.coalesce(doc_id, F.lit(-(1 << 63))).cast("decimal(38,0)")
+        return (wide * F.lit(1 << 31).cast("decimal(11,0)") + pos).cast("decimal(38,0)")
+
+    def parts(self, place: Column) -> tuple[Column, Column]:
+        """The document's key, equal to key(doc_id), and the line number."""
+        if self.long:
+            return F.shiftright(place, self.bits), place.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
+        step = F.lit(1 << 31).cast("decimal(11,0)")
+        doc = F.floor(place / step).cast("decimal(38,0)")
+        return doc.cast("long"), (place - doc * step).cast("int")
+
+    def key(self, doc_id: Column) -> Column:
+        return F.coalesce(doc_id - F.lit(self.least) + 1, F.lit(0)).cast("long") if self.long else F.coalesce(doc_id, F.lit(-(1 << 63)))
+
+
+def line_classes(documents: DataFrame, places: Places) -> DataFrame:
     """line and its first place, of every distinct line with words."""
     every = texts(documents).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))  # outer: no filter is inferred that would part the text twice
-    return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(_place(F.col("doc_id"), F.col("pos"))).alias("place"))
+    return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(places.of(F.col("doc_id"), F.col("pos"))).alias("place"))
 
 
 def _prefixes(classes: DataFrame, t: float, frequent: list[int] | None = None) -> DataFrame:
@@ -119,6 +142,7 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
     release(spark)
     settled = _verified(first, classes, t)
+    release(spark)
     a, b = prefixes.alias("a"), prefixes.join(settled, "place", "left_anti").alias("b")
     fits = _fits(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"), t)
     rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
@@ -130,15 +154,15 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
 def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """documents, all their columns, with text without the lines that go, and __n_lines, __n_removed."""
     spark = documents.sparkSession
-    classes = stored(line_classes(documents), "line-classes")
+    places = Places(documents)
+    classes = stored(line_classes(documents, places), "line-classes")
     release(spark)
     gone = cut(repeated_places(classes, similarity))
     release(spark)
-    stay = classes.select("place").join(gone, "place", "left_anti")
-    step = F.lit(1 << 31).cast("decimal(11,0)")
-    doc = F.floor(F.col("place") / step).cast("decimal(38,0)")
-    kept = stay.select(doc.alias("__doc"), (F.col("place") - doc * step).cast("int").alias("pos")).groupBy(F.col("__doc").cast("long").alias("__doc")).agg(F.collect_list("pos").alias("__kept"))
-    joined = documents.join(kept, F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("__doc"), "left").drop("__doc")
+    doc, pos = places.parts(F.col("place"))
+    stay = classes.select("place").join(gone, "place", "left_anti").select(doc.alias("__doc"), pos.alias("pos"))
+    kept = stay.groupBy("__doc").agg(F.collect_list("pos").alias("__kept"))
+    joined = documents.join(kept, places.key(documents["doc_id"].cast("long")) == F.col("__doc"), "left").drop("__doc")
     lines, known = F.split(F.coalesce("text", F.lit("")), "\n"), F.coalesce("__kept", F.array().cast("array<int>"))
     numbers = lambda ls: F.sequence(F.lit(0), F.size(ls) - 1)
     blank = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.trim(x, F.lit(_SPACES)) == "", i)), lambda i: i.isNotNull())

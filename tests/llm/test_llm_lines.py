@@ -62,6 +62,8 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, frequent):
 
 
 def test_line_dedup_of_odd_tables(spark):
+    far = [(1 << 62, "a b c\nd"), (-(1 << 62), "a b c"), (None, "d")]
+    assert sorted((r.doc_id or 0, r.text) for r in lines.dedup_lines(table(spark, far)).collect()) == [(-(1 << 62), "a b c"), (0, "d"), (1 << 62, "")]
     assert lines.dedup_lines(table(spark, [])).count() == 0
     got = lines.dedup_lines(table(spark, [(None, "a b c"), (7, "a b c"), (7, "a b c"), (9, "a b c")])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a b c"), (7, ""), (7, ""), (9, "")]
