@@ -4,9 +4,8 @@ A line's tokens are its word five-shingles (of fewer words, the whole line). A l
 doc_id, then line number) has a Jaccard similarity of tokens of at least the threshold; equal lines are the case of 1.
 Lines without words stay.
 
-Equal lines are one class, placed at its first line; classes are joined. Tokens are ordered by rarity: those of
-buckets that are frequent among prefixes come last, the others by their hash, which is an order as good as any among
-tokens that hardly occur. By one such order for all lines, any two sets similar enough share a token among the first
+Equal lines are one class, placed at its first line; classes are joined. Tokens are ordered by rarity: those that
+many lines share come last, the others by their hash, which is an order as good as any among tokens that hardly occur. By one such order for all lines, any two sets similar enough share a token among the first
 n - ceil(t n) + 1 of each (prefix filter), where their sizes differ little enough (length filter) and enough tokens can
 be shared before and after it (positional filter). Pairs that pass are verified on the whole sets.
 
@@ -28,10 +27,8 @@ from plumbline.llm.common import SPACE_RUN, cut, let, release, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
 SHINGLE = 5
-#: Buckets of token counts: the table of frequent ones has this fixed size, whatever the corpus.
-BUCKETS = 1 << 14
-#: A bucket is frequent beyond so many prefix tokens, and so many times the mean.
-FREQUENT, TIMES_MEAN = 200, 4
+#: A token that is in more lines than this is frequent and comes last in the order.
+FREQUENT = 64
 
 
 def _words(line: Column) -> Column:
@@ -46,10 +43,6 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(let(_words(line), shingles))
 
 
-def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-
-
 class Places:
     """(doc_id, line number) as one number in their order: a long where all fit one, else a decimal. Null doc_ids come first."""
 
@@ -84,31 +77,37 @@ def line_classes(documents: DataFrame, places: Places) -> DataFrame:
     return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(places.of(F.col("doc_id"), F.col("pos"))).alias("place"))
 
 
-def _prefixes(classes: DataFrame, t: float, frequent: list[int] | None = None) -> DataFrame:
-    """place, n, i, tok: the prefix of every class; frequent: a flag for each bucket whose tokens come last."""
-    x = F.sort_array(_tokens(F.col("line")))
-    if frequent:
-        table = F.split(F.lit(",".join(map(str, frequent))), ",").cast("array<int>")  # folded to a literal
-        hot = lambda h: F.get(table, _bucket(h)) == 1
-        x = let(x, lambda y: F.concat(F.filter(y, lambda h: ~hot(h)), F.filter(y, hot)))
-    sets = classes.select("place", x.alias("x"))
+def _cut_prefix(sets: DataFrame, t: float) -> DataFrame:
+    """place, n, i, tok: the prefix of each of the ordered sets (place, x)."""
     n = F.size("x")
     return sets.select("place", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
 
 
+def _often(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("tok")
+
+
 def ordered_prefixes(classes: DataFrame, t: float) -> DataFrame:
-    """Prefixes in the order of rarity. Where a line's prefix by hash alone holds no frequent token, it is that of the order."""
-    plain = stored(_prefixes(classes, t), "line-prefixes")
-    counts = plain.groupBy(_bucket(F.col("tok")).alias("b")).agg(F.count("*").alias("c")).collect()  # at most BUCKETS rows
-    most = max(FREQUENT, TIMES_MEAN * sum(r.c for r in counts) / BUCKETS)
-    hot = {r.b for r in counts if r.c > most}
-    if not hot:
+    """Prefixes in the order of rarity: tokens that are not frequent by their hash, then the frequent.
+
+    Prefixes by hash alone show which lines hold frequent tokens early, and all tokens of those lines which tokens
+    are frequent. A line whose prefix by hash holds none of these has the same prefix in the order of rarity, so
+    only the others are ordered anew.
+    """
+    plain = stored(_cut_prefix(classes.select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), t), "line-prefixes")
+    early = cut(_often(plain))
+    if early.isEmpty():
         return plain
-    flags = [int(b in hot) for b in range(BUCKETS)]
-    table = F.split(F.lit(",".join(map(str, flags))), ",").cast("array<int>")
-    touched = cut(plain.where(F.get(table, _bucket(F.col("tok"))) == 1).select("place").distinct())
-    again = _prefixes(classes.join(touched, "place", "left_semi"), t, flags)
-    return stored(plain.join(touched, "place", "left_anti").unionByName(again), "line-prefixes")
+    touched = plain.join(early, "tok", "left_semi").select("place").distinct()
+    tokens = classes.join(touched, "place", "left_semi").select(F.explode(_tokens(F.col("line"))).alias("tok"))
+    frequent = cut(_often(tokens).unionByName(early).distinct())
+    touched = cut(plain.join(frequent, "tok", "left_semi").select("place").distinct())
+    release(classes.sparkSession)
+    sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), "line-sets")
+    late = sets.select("place", F.explode("x").alias("tok")).join(frequent, "tok").groupBy("place").agg(F.sort_array(F.collect_list("tok")).alias("late"))  # of one line
+    sets = sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x"))
+    again = stored(_cut_prefix(sets, t), "line-prefixes")
+    return plain.join(touched, "place", "left_anti").unionByName(again)
 
 
 def _need(n1: Column, n2: Column, t: float) -> Column:
@@ -133,7 +132,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
 def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t, spark = similarity, classes.sparkSession
-    prefixes = ordered_prefixes(classes, t)
+    prefixes = stored(ordered_prefixes(classes, t), "line-prefixes")
     release(spark)
     order = W.partitionBy("tok").orderBy("place")
     me = F.struct("place", "n", "i")
