@@ -7,7 +7,8 @@ Lines without words stay.
 Equal lines are one class, placed at its first line; classes are joined. Tokens are ordered by rarity: those that
 many lines share come last, the others by their hash, which is an order as good as any among tokens that hardly occur. By one such order for all lines, any two sets similar enough share a token among the first
 n - ceil(t n) + 1 of each (prefix filter), where their sizes differ little enough (length filter) and enough tokens can
-be shared before and after it (positional filter). Pairs that pass are verified on the whole sets.
+be shared before and after it (positional filter), and where their parity bitmaps (64 bits, each token flips one)
+differ in no more bits than the sets may differ in tokens (bitmap filter). Pairs that pass are verified on the whole sets.
 
 A line needs one earlier match, so each is first verified against the first and the previous line of its tokens'
 postings, which is linear; only lines that none of those matches are joined with all that come before. A dense group
@@ -23,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, cut, let, release, stored, texts
+from plumbline.llm.common import SPACE_RUN, cut, discard, let, release, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
 SHINGLE = 5
-#: A token that is in more lines than this is frequent and comes last in the order.
-FREQUENT = 64
+#: A token that is in more prefixes than this is frequent and comes last in the order.
+FREQUENT = 1_000
+#: Buckets by which most tokens are told to be infrequent before any is counted by itself; a table of that many rows is broadcast.
+BUCKETS = 1 << 16
 
 
 def _words(line: Column) -> Column:
@@ -77,47 +80,61 @@ def line_classes(documents: DataFrame, places: Places) -> DataFrame:
     return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(places.of(F.col("doc_id"), F.col("pos"))).alias("place"))
 
 
+def _parity(tokens: Column) -> Column:
+    """64 bits, of which each token flips one: the sets differ in at least as many tokens as their bitmaps in bits."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _cut_prefix(sets: DataFrame, t: float) -> DataFrame:
-    """place, n, i, tok: the prefix of each of the ordered sets (place, x)."""
+    """place, n, bits, i, tok: the prefix of each of the ordered sets (place, x)."""
     n = F.size("x")
-    return sets.select("place", n.alias("n"), F.posexplode(F.slice("x", 1, (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int"))).alias("i", "tok"))
+    length = (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int")
+    return sets.select("place", n.alias("n"), _parity(F.col("x")).alias("bits"), F.posexplode(F.slice("x", 1, length)).alias("i", "tok"))
 
 
 def _often(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("tok")
+    """The tokens that more than FREQUENT rows hold. Only those in buckets with as many rows are counted one by one."""
+    bucket = F.shiftrightunsigned("tok", 20).bitwiseAND(F.lit(BUCKETS - 1))
+    full = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("b")
+    return rows.select("tok", bucket.alias("b")).join(F.broadcast(full), "b").groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("tok")
 
 
 def ordered_prefixes(classes: DataFrame, t: float) -> DataFrame:
-    """Prefixes in the order of rarity: tokens that are not frequent by their hash, then the frequent.
+    """Prefixes in the order of rarity, as a stored table: tokens that are not frequent by their hash, then the frequent.
 
     Prefixes by hash alone show which lines hold frequent tokens early, and all tokens of those lines which tokens
     are frequent. A line whose prefix by hash holds none of these has the same prefix in the order of rarity, so
     only the others are ordered anew.
     """
+    spark = classes.sparkSession
     plain = stored(_cut_prefix(classes.select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), t), "line-prefixes")
     early = cut(_often(plain))
     if early.isEmpty():
         return plain
-    touched = plain.join(early, "tok", "left_semi").select("place").distinct()
+    touched = cut(plain.join(early, "tok", "left_semi").select("place").distinct())
+    release(spark)
     tokens = classes.join(touched, "place", "left_semi").select(F.explode(_tokens(F.col("line"))).alias("tok"))
     frequent = cut(_often(tokens).unionByName(early).distinct())
     touched = cut(plain.join(frequent, "tok", "left_semi").select("place").distinct())
-    release(classes.sparkSession)
+    release(spark)
     sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), "line-sets")
     late = sets.select("place", F.explode("x").alias("tok")).join(frequent, "tok").groupBy("place").agg(F.sort_array(F.collect_list("tok")).alias("late"))  # of one line
-    sets = sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x"))
-    again = stored(_cut_prefix(sets, t), "line-prefixes")
-    return plain.join(touched, "place", "left_anti").unionByName(again)
+    again = _cut_prefix(sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x")), t)
+    out = stored(plain.join(touched, "place", "left_anti").unionByName(again), "line-prefixes")
+    discard(plain)
+    discard(sets)
+    release(spark)
+    return out
 
 
 def _need(n1: Column, n2: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n1 + n2) - F.lit(1e-9))
 
 
-def _fits(n1: Column, i1: Column, n2: Column, i2: Column, t: float) -> Column:
-    """Length and positional filters of a shared token at places i1 and i2 of sets of n1 and n2."""
+def _fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column, t: float) -> Column:
+    """Length, positional and bitmap filters of a shared token at places i1 and i2 of sets of n1 and n2."""
     room = 1 + F.least(i1, i2) + F.least(n1 - i1, n2 - i2) - 1
-    return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t))
+    return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
@@ -132,22 +149,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
 def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t, spark = similarity, classes.sparkSession
-    prefixes = stored(ordered_prefixes(classes, t), "line-prefixes")
+    prefixes = ordered_prefixes(classes, t)
     release(spark)
     order = W.partitionBy("tok").orderBy("place")
-    me = F.struct("place", "n", "i")
-    near = prefixes.select("tok", "place", "n", "i", F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b")).where("a IS NOT NULL")
-    near = near.select("place", "n", "i", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("n"), F.col("i"), t))
+    me = F.struct("place", "n", "i", "bits")
+    near = prefixes.select("tok", "place", "n", "i", "bits", F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b")).where("a IS NOT NULL")
+    near = near.select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
     release(spark)
     settled = _verified(first, classes, t)
     release(spark)
     a, b = prefixes.alias("a"), prefixes.join(settled, "place", "left_anti").alias("b")
-    fits = _fits(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"), t)
+    fits = _fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
     rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
     rest = cut(rest.join(first, ["p1", "p2"], "left_anti"))
+    discard(prefixes)
     release(spark)
-    return settled.unionByName(_verified(rest, classes, t))
+    return cut(settled.unionByName(_verified(rest, classes, t)))
 
 
 def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -156,7 +174,7 @@ def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     places = Places(documents)
     classes = stored(line_classes(documents, places), "line-classes")
     release(spark)
-    gone = cut(repeated_places(classes, similarity))
+    gone = repeated_places(classes, similarity)
     release(spark)
     doc, pos = places.parts(F.col("place"))
     stay = classes.select("place").join(gone, "place", "left_anti").select(doc.alias("__doc"), pos.alias("pos"))
