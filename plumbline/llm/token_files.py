@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, texts
-from plumbline.llm.tokens import encoder, slices
+from plumbline.llm.tokens import encoder, row_slices
 
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20)}
 
@@ -30,13 +30,12 @@ def encoded(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataF
         import numpy as np
         import pyarrow as pa
 
-        enc, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        enc = encoder(tokenizer_path)
         for batch in batches:
-            for part, names in zip(slices(batch.column(1).to_pylist()), slices(batch.column(0).to_pylist()), strict=True):
-                data = [x + end for x in enc.ids(part)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in data)])
-                flat = np.frombuffer(b"".join(data), "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+            for first, n in row_slices(batch.column(1)):
+                part = batch.slice(first, n)
+                ends, flat = enc.ragged(part.column(1), end_id)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["doc_id", "ids"])
 
     return texts(documents).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -68,6 +68,15 @@ class ByteLevel:
         return out
 
 
+    def ragged(self, texts, end_id: int):
+        """The same for an Arrow array of texts, each followed by end_id: offsets and all ids."""
+        import numpy as np
+
+        end = int(end_id).to_bytes(4, "little")
+        data = [x + end for x in self.ids(texts.to_pylist())]
+        return np.cumsum([0, *(len(x) // 4 for x in data)]), np.frombuffer(b"".join(data), "<u4")
+
+
 class Words:
     """ids(texts): the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -124,13 +133,17 @@ class Words:
 
     def _find(self, missing: set[str]) -> dict[str, bytes]:
         old, found, letters, other = self.old, {}, {}, []
+        if "" in missing:
+            found[""] = b""
+            missing = missing - {""}
         for k in missing:
             if (i := old.get(k)) is not None:
                 found[k] = i
                 continue
             stem, mark = (k[:-1], k[-1]) if k[-1] in ".," else (k, "")
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                letters[k] = (stem if stem.isascii() and stem.islower() else stem.lower(), mark)
+            low = stem.lower()  # of one dotted capital I it is no letters alone
+            if low.isalpha() and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+                letters[k] = (low, mark)
             else:
                 other.append(k)
         stems = [w for w in {w for w, _ in letters.values()} if w not in found]
@@ -168,6 +181,40 @@ class Words:
         return [next(odd) if p is None else b"".join(p) for p in parts]
 
 
+    def ragged(self, texts, end_id: int):
+        """The same for an Arrow array of texts, each followed by end_id: offsets and all ids.
+
+        Arrow parts the texts and numbers their distinct words; only those are looked up one by one.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        end = int(end_id).to_bytes(4, "little")
+        if pc.any(pc.match_substring(texts, "<|")).as_py():
+            data = [x + end for x in self.ids(texts.to_pylist())]
+            return np.cumsum([0, *(len(x) // 4 for x in data)]), np.frombuffer(b"".join(data), "<u4")
+        lists = pc.ascii_split_whitespace(texts)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        numbered = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
+        at, words = at - at[0], numbered.dictionary.to_pylist()
+        ids = list(map(self.young.get, words))
+        missing = {w for w, i in zip(words, ids, strict=True) if i is None}
+        if missing:
+            found = self._find(missing)
+            ids = [found[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            self.young.update((k, i) for k, i in found.items() if len(k) <= LONGEST_CACHED)
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+        ids.append(end)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        codes = np.insert(numbered.indices.to_numpy(), at[1:], len(words))
+        n = size[codes]
+        after = np.cumsum(n)
+        flat = pool[np.repeat(start[codes] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
+        return np.concatenate(([0], after))[np.concatenate(([0], at[1:] + np.arange(1, len(at))))], flat
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str):
     with open(path, encoding="utf-8") as f:
@@ -178,6 +225,21 @@ def encoder(path: str):
     return Words(path)
 
 
+def row_slices(column, most_bytes: int = 4 << 20):
+    """(first, rows) of runs of an Arrow string column of about so many bytes, or of one longer text."""
+    import numpy as np
+
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        before = ends[first - 1] if first else 0
+        n = max(1, int(np.searchsorted(ends, before + most_bytes, side="right")) - first)
+        yield first, n
+        first += n
+
+
 def slices(values: list, rows: int = 512):
     """Lists of at most so many values: what a worker holds at once is bounded by these, not by Arrow's batches."""
     for i in range(0, len(values), rows):
