@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import ann, decontam, lines, packing, pii, quality, simhash, substrings, token_files, urls
+from plumbline.llm import ann, decontam, lines, oracles, packing, pii, quality, simhash, substrings, token_files, urls
 from plumbline.llm.common import read_table, scratch_path
 
 
@@ -49,22 +49,6 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
 
 
-OP6_SQL = """
-WITH parts AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-own AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-rules(verdict, rule, h, p) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'),
-  ('block', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
-fits AS (
-  SELECT o.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY o.page_id ORDER BY length(r.rule) DESC) AS n
-  FROM own o JOIN rules r ON (o.host = r.h OR ends_with(o.host, '.' || r.h)) AND starts_with(o.path, r.p))
-SELECT o.page_id, o.host, o.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
-FROM own o LEFT JOIN fits f ON o.page_id = f.page_id AND f.n = 1
-"""
-
-
 def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -91,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_rules": OP6_SQL}
+    return {"op2_substring_dedup": oracles.OP2, "op6_url_rules": oracles.OP6, "op8_line_dedup": oracles.OP8}
