@@ -151,19 +151,23 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     t, spark = similarity, classes.sparkSession
     prefixes = ordered_prefixes(classes, t)
     release(spark)
-    order = W.partitionBy("tok").orderBy("place")
+    order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
     me = F.struct("place", "n", "i", "bits")
-    near = prefixes.select("tok", "place", "n", "i", "bits", F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b")).where("a IS NOT NULL")
-    near = near.select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
+    postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
+    shared = stored(postings.where("c > 1"), "line-postings")  # most tokens are in one line
+    discard(prefixes)
+    release(spark)
+    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
     release(spark)
     settled = _verified(first, classes, t)
     release(spark)
-    a, b = prefixes.alias("a"), prefixes.join(settled, "place", "left_anti").alias("b")
+    # Left are pairs of a posting that are neither next to each other nor with its first: from the fourth line on.
+    long = shared.where("c > 3").select("tok", "place", "n", "i", "bits", "r")
+    a, b = long.where("r > 1").alias("a"), long.where("r > 3").join(settled, "place", "left_anti").alias("b")
     fits = _fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
-    rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
-    rest = cut(rest.join(first, ["p1", "p2"], "left_anti"))
-    discard(prefixes)
+    rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
+    discard(shared)
     release(spark)
     return cut(settled.unionByName(_verified(rest, classes, t)))
 
