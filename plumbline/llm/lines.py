@@ -106,24 +106,23 @@ def ordered_prefixes(classes: DataFrame, t: float) -> DataFrame:
     are frequent. A line whose prefix by hash holds none of these has the same prefix in the order of rarity, so
     only the others are ordered anew.
     """
-    spark = classes.sparkSession
     plain = stored(_cut_prefix(classes.select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), t), "line-prefixes")
     early = cut(_often(plain))
     if early.isEmpty():
         return plain
     touched = cut(plain.join(early, "tok", "left_semi").select("place").distinct())
-    release(spark)
+    release(classes)
     tokens = classes.join(touched, "place", "left_semi").select(F.explode(_tokens(F.col("line"))).alias("tok"))
     frequent = cut(_often(tokens).unionByName(early).distinct())
     touched = cut(plain.join(frequent, "tok", "left_semi").select("place").distinct())
-    release(spark)
+    release(classes)
     sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), "line-sets")
     late = sets.select("place", F.explode("x").alias("tok")).join(frequent, "tok").groupBy("place").agg(F.sort_array(F.collect_list("tok")).alias("late"))  # of one line
     again = _cut_prefix(sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x")), t)
     out = stored(plain.join(touched, "place", "left_anti").unionByName(again), "line-prefixes")
     discard(plain)
     discard(sets)
-    release(spark)
+    release(classes)
     return out
 
 
@@ -148,38 +147,37 @@ def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
 
 def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
-    t, spark = similarity, classes.sparkSession
+    t = similarity
     prefixes = ordered_prefixes(classes, t)
-    release(spark)
+    release(classes)
     order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
     me = F.struct("place", "n", "i", "bits")
     postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
     shared = stored(postings.where("c > 1"), "line-postings")  # most tokens are in one line
     discard(prefixes)
-    release(spark)
+    release(classes)
     near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
-    release(spark)
+    release(classes)
     settled = _verified(first, classes, t)
-    release(spark)
+    release(classes)
     # Left are pairs of a posting that are neither next to each other nor with its first: from the fourth line on.
     long = shared.where("c > 3").select("tok", "place", "n", "i", "bits", "r")
     a, b = long.where("r > 1").alias("a"), long.where("r > 3").join(settled, "place", "left_anti").alias("b")
     fits = _fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
     rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
     discard(shared)
-    release(spark)
+    release(classes)
     return cut(settled.unionByName(_verified(rest, classes, t)))
 
 
 def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """documents, all their columns, with text without the lines that go, and __n_lines, __n_removed."""
-    spark = documents.sparkSession
     places = Places(documents)
     classes = stored(line_classes(documents, places), "line-classes")
-    release(spark)
+    release(classes)
     gone = repeated_places(classes, similarity)
-    release(spark)
+    release(classes)
     doc, pos = places.parts(F.col("place"))
     stay = classes.select("place").join(gone, "place", "left_anti").select(doc.alias("__doc"), pos.alias("pos"))
     kept = stay.groupBy("__doc").agg(F.collect_list("pos").alias("__kept"))

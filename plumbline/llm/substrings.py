@@ -279,22 +279,21 @@ def _hot_shards(distinct: DataFrame, window: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, window: int = 35) -> DataFrame:
     """d, h (see _keyed) and the ranges s[i], e[i] of words, possibly overlapping, that repeated windows cover."""
     anchor = min(ANCHOR, window)
-    spark = documents.sparkSession
     docs = _keyed(documents)
     sites = stored(_sites(docs, window, anchor), "substring-sites")
     # Cut, so that the join reads two plain exchanges, of which Spark can split the partition of a frequent anchor.
     twice = cut(sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot")))
     chosen = cut(sites.join(twice, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("anchor", "lo", "n", "hot")).alias("sites")))  # of one document
-    release(spark)
+    release(documents)
     pieces = stored(_pieces(docs.select("d", "h", "text").join(chosen, ["d", "h"]).select("d", "h", "text", "sites"), window), "substring-pieces")
-    release(spark)
+    release(documents)
     normal = pieces.where("NOT hot").select("anchor", "digest", "piece").repartition("anchor").sortWithinPartitions("anchor", "digest")
     counted = pieces.where("hot").groupBy("digest", "piece").agg(F.count("*").alias("n"))
     flags = cut(_shards(normal, window).unionByName(_hot_shards(counted, window)))
     placed = pieces.select("digest", "d", "h", "lo").join(flags, "digest")
     moved = placed.select("d", "h", F.transform("s", lambda x: x + F.col("lo")).alias("s"), F.transform("e", lambda x: x + F.col("lo")).alias("e"))
     spans = cut(moved.groupBy("d", "h").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e")))  # of one document
-    release(spark)
+    release(documents)
     return spans
 
 
