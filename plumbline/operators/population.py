@@ -66,3 +66,18 @@ def leaders(df: DataFrame, by: list[str], value: str, entity: str, where: Column
     rows = df.where(F.col(value).isNotNull() & (where if where is not None else F.lit(True)))
     best = rows.groupBy(*by).agg(F.max(value).alias("top"))
     return rows.join(best, by).where(F.col(value) == F.col("top")).groupBy(*by, "top").agg(F.array_sort(F.collect_set(entity)).alias("leaders"))
+
+
+def global_position(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Row numbers over all rows without gathering them in one task.
+
+    Rows are dealt to ranges of the order and sorted; each range counts its own, and the ranges' totals are added
+    up. The order must be total (end with a key). The ranges are written once, since another run may draw them elsewhere.
+    """
+    from plumbline.sources.lineage import cut
+
+    dealt = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    base = dealt.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(base, "__part").withColumn(name, (F.col("__base") + F.col("__own")).cast("bigint")).drop("__part", "__own", "__base")

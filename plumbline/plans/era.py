@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import expr as E
@@ -124,7 +123,7 @@ def era_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = m.select("entity", "period", F.round(E.z_score("ppg", "mean", "sd"), 6).alias("z"), F.round(P.midrank_share(), 9).alias("percentile"))
     best = S.best_window(scored, "entity", "period", "percentile", 3).select("entity", "start", F.round("mean", 6).alias("peak"))
     mean = scored.groupBy("entity").agg(F.count("*").alias("periods"), F.round(F.avg("z"), 4).alias("mean_z"))
-    return mean.join(best, "entity", "left").withColumn("position", F.row_number().over(W.orderBy(F.col("peak").desc_nulls_last(), "entity")).cast("bigint"))  # one row per entity
+    return P.global_position(mean.join(best, "entity", "left"), [F.col("peak").desc_nulls_last(), F.col("entity")])
 
 
 SQL = {

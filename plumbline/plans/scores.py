@@ -59,7 +59,7 @@ def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overall_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete-case weighted score; incomplete entities are listed without a rank."""
     s = components(spark, sf_dir).withColumn("overall", F.round(K.linear_score(WEIGHTS), 6))
-    r = s.withColumn("rank", F.when(F.col("overall").isNotNull(), F.row_number().over(W.orderBy(F.col("overall").desc_nulls_last(), "entity"))).cast("bigint"))
+    r = P.global_position(s, [F.col("overall").desc_nulls_last(), F.col("entity")]).withColumn("rank", F.when(F.col("overall").isNotNull(), F.col("position")))
     return r.select("entity", "overall", "rank", F.when(F.col("overall").isNull(), "INCOMPLETE").otherwise("RANKED").alias("status"))
 
 

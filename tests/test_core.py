@@ -118,6 +118,14 @@ def test_ranks_and_leaders(spark):
     assert P.leaders(df.withColumn("k", F.lit(1)), ["k"], "v", "id").first().leaders == [2, 3]
 
 
+def test_global_position(spark):
+    random.seed(5)
+    df = spark.createDataFrame([(i, random.choice([None, 1, 2, 3])) for i in range(200)], "id int, v int").repartition(5)
+    got = {r.id: r.position for r in P.global_position(df, [F.col("v").desc_nulls_last(), F.col("id")]).collect()}
+    order = sorted(((-(r.v or 0), r.id) for r in df.collect()))
+    assert [got[i] for _, i in order] == list(range(1, 201))
+
+
 def test_reconcile_and_merge(spark):
     a = spark.createDataFrame([(1, 5, None), (2, 5, 1), (3, 1, 1)], "k int, x int, y int")
     b = spark.createDataFrame([(1, 5, None), (2, 7, 2), (4, 1, 1)], "k int, x int, y int")
