@@ -29,7 +29,7 @@ from plumbline.llm.common import SPACE_RUN, cut, discard, let, release, stored,
 _SPACES = " \t\n\x0b\x0c\r"
 SHINGLE = 5
 #: A token that is in more prefixes than this is frequent and comes last in the order.
-FREQUENT = 1_000
+FREQUENT = 100
 #: Buckets by which most tokens are told to be infrequent before any is counted by itself; a table of that many rows is broadcast.
 BUCKETS = 1 << 16
 
@@ -99,17 +99,16 @@ def _often(rows: DataFrame) -> DataFrame:
     return rows.select("tok", bucket.alias("b")).join(F.broadcast(full), "b").groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("tok")
 
 
-def ordered_prefixes(classes: DataFrame, t: float) -> DataFrame:
-    """Prefixes in the order of rarity, as a stored table: tokens that are not frequent by their hash, then the frequent.
+def ordered_prefixes(classes: DataFrame, t: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Prefixes in the order of rarity: tokens that are not frequent by their hash, then the frequent. With them the stored
+    tables they are read from.
 
     Prefixes by hash alone show which lines hold frequent tokens early, and all tokens of those lines which tokens
     are frequent. A line whose prefix by hash holds none of these has the same prefix in the order of rarity, so
-    only the others are ordered anew.
+    only the others are ordered anew. What they had by hash does no harm but for its frequent tokens, which go.
     """
     plain = stored(_cut_prefix(classes.select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), t), "line-prefixes")
     early = cut(_often(plain))
-    if early.isEmpty():
-        return plain
     touched = cut(plain.join(early, "tok", "left_semi").select("place").distinct())
     release(classes)
     tokens = classes.join(touched, "place", "left_semi").select(F.explode(_tokens(F.col("line"))).alias("tok"))
@@ -118,12 +117,12 @@ def ordered_prefixes(classes: DataFrame, t: float) -> DataFrame:
     release(classes)
     sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), "line-sets")
     late = sets.select("place", F.explode("x").alias("tok")).join(frequent, "tok").groupBy("place").agg(F.sort_array(F.collect_list("tok")).alias("late"))  # of one line
-    again = _cut_prefix(sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x")), t)
-    out = stored(plain.join(touched, "place", "left_anti").unionByName(again), "line-prefixes")
-    discard(plain)
+    again = stored(_cut_prefix(sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x")), t), "line-prefixes")
     discard(sets)
     release(classes)
-    return out
+    both = plain.withColumn("anew", F.lit(False)).unionByName(again.withColumn("anew", F.lit(True)))
+    marked = both.join(frequent.withColumn("often", F.lit(True)), "tok", "left")
+    return marked.where(F.col("anew") | F.col("often").isNull()).select("tok", "place", "n", "i", "bits"), (plain, again)
 
 
 def _need(n1: Column, n2: Column, t: float) -> Column:
@@ -148,15 +147,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
 def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t = similarity
-    prefixes = ordered_prefixes(classes, t)
-    release(classes)
+    prefixes, tables = ordered_prefixes(classes, t)
     order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
     me = F.struct("place", "n", "i", "bits")
     postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
     shared = stored(postings.where("c > 1"), "line-postings")  # most tokens are in one line
-    discard(prefixes)
+    for x in tables:
+        discard(x)
     release(classes)
-    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
+    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place").where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
     release(classes)
     settled = _verified(first, classes, t)
@@ -165,7 +164,7 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     long = shared.where("c > 3").select("tok", "place", "n", "i", "bits", "r")
     a, b = long.where("r > 1").alias("a"), long.where("r > 3").join(settled, "place", "left_anti").alias("b")
     fits = _fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
-    rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
+    rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
     discard(shared)
     release(classes)
     return cut(settled.unionByName(_verified(rest, classes, t)))
