@@ -4,7 +4,7 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir), where doc
 returned, and returns a DataFrame. All stages but the last return the columns of documents.
 
 1. quality: documents that the pairwise classifier rejects go.
-2. lines: lines similar to an earlier line of the corpus go from the texts (n_chars follows).
+2. lines: lines similar to an earlier line of the corpus (sets of words, Jaccard 0.8) go from the texts (n_chars follows).
 3. near_duplicates: of each group of near copies (five-word shingles, Jaccard 0.8) the least doc_id stays.
 4. decontaminate: documents with a window similar to a benchmark item go.
 5. pack: what is left becomes pieces in sequences of 2048 tokens.
@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, shingle=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

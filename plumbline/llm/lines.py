@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join (operator 8). DataFrame functions only.
 
-A line's tokens are its word five-shingles (of fewer words, the whole line). A line goes if any earlier line (by
+A line's tokens are its runs of `shingle` words (of fewer words, the whole line); with shingle=1 its words. A line goes if any earlier line (by
 doc_id, then line number) has a Jaccard similarity of tokens of at least the threshold; equal lines are the case of 1.
 Lines without words stay.
 
@@ -30,6 +30,8 @@ _SPACES = " \t\n\x0b\x0c\r"
 SHINGLE = 5
 #: A token that is in more prefixes than this is frequent and comes last in the order.
 FREQUENT = 100
+#: Rows of the table of frequent words up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 #: Buckets by which most tokens are told to be infrequent before any is counted by itself; a table of that many rows is broadcast.
 BUCKETS = 1 << 16
 
@@ -40,9 +42,11 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(F.when(odd, F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line)), " ")
 
 
-def _tokens(line: Column) -> Column:
+def _tokens(line: Column, shingle: int = SHINGLE) -> Column:
     """XXH64 of the distinct shingles of a line."""
-    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))
+    if shingle == 1:
+        return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - shingle + 1)), lambda i: F.xxhash64(F.slice(w, i, shingle)))
     return F.array_distinct(let(_words(line), shingles))
 
 
@@ -99,23 +103,23 @@ def _often(rows: DataFrame) -> DataFrame:
     return rows.select("tok", bucket.alias("b")).join(F.broadcast(full), "b").groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("tok")
 
 
-def ordered_prefixes(classes: DataFrame, t: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+def ordered_prefixes(classes: DataFrame, t: float, own: Column) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """Prefixes in the order of rarity: tokens that are not frequent by their hash, then the frequent. With them the stored
-    tables they are read from.
+    tables they are read from. own: the tokens of a class.
 
     Prefixes by hash alone show which lines hold frequent tokens early, and all tokens of those lines which tokens
     are frequent. A line whose prefix by hash holds none of these has the same prefix in the order of rarity, so
     only the others are ordered anew. What they had by hash does no harm but for its frequent tokens, which go.
     """
-    plain = stored(_cut_prefix(classes.select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), t), "line-prefixes")
+    plain = stored(_cut_prefix(classes.select("place", F.sort_array(own).alias("x")), t), "line-prefixes")
     early = cut(_often(plain))
     touched = cut(plain.join(early, "tok", "left_semi").select("place").distinct())
     release(classes)
-    tokens = classes.join(touched, "place", "left_semi").select(F.explode(_tokens(F.col("line"))).alias("tok"))
+    tokens = classes.join(touched, "place", "left_semi").select(F.explode(own).alias("tok"))
     frequent = cut(_often(tokens).unionByName(early).distinct())
     touched = cut(plain.join(frequent, "tok", "left_semi").select("place").distinct())
     release(classes)
-    sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(_tokens(F.col("line"))).alias("x")), "line-sets")
+    sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(own).alias("x")), "line-sets")
     late = sets.select("place", F.explode("x").alias("tok")).join(frequent, "tok").groupBy("place").agg(F.sort_array(F.collect_list("tok")).alias("late"))  # of one line
     again = stored(_cut_prefix(sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x")), t), "line-prefixes")
     discard(sets)
@@ -125,6 +129,23 @@ def ordered_prefixes(classes: DataFrame, t: float) -> tuple[DataFrame, tuple[Dat
     return marked.where(F.col("anew") | F.col("often").isNull()).select("tok", "place", "n", "i", "bits"), (plain, again)
 
 
+def word_prefixes(classes: DataFrame, t: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """Like ordered_prefixes for words, of which most lines hold frequent ones: these come in the order of their exact counts.
+
+    A frequent word's key is its count and 32 bits of its hash; two words of one key only add candidates.
+    """
+    words = classes.select("place", F.explode(_tokens(F.col("line"), 1)).alias("tok"))
+    counts = cut(words.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT))
+    release(classes)
+    small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    counted = F.shiftleft(F.least("c", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("tok").bitwiseAND(F.lit((1 << 32) - 1)))
+    key = F.when(F.col("c").isNull(), F.col("tok").bitwiseOR(F.lit(-(1 << 63)))).otherwise(counted)  # what is not frequent is negative
+    sets = words.join(F.broadcast(counts) if small else counts, "tok", "left").groupBy("place").agg(F.sort_array(F.collect_list(key)).alias("x"))  # of one line
+    prefixes = stored(_cut_prefix(sets, t), "line-prefixes")
+    release(classes)
+    return prefixes, (prefixes,)
+
+
 def _need(n1: Column, n2: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n1 + n2) - F.lit(1e-9))
 
@@ -135,19 +156,19 @@ def _fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column
     return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, t: float, shingle: int) -> DataFrame:
     """The places p2 of pairs (p1, p2) that are similar enough. Only the candidates' lines are parted into tokens again."""
     wanted = pairs.select(F.col("p1").alias("place")).unionByName(pairs.select(F.col("p2").alias("place"))).distinct()
-    own = cut(classes.join(wanted, "place", "left_semi").select("place", _tokens(F.col("line")).alias("x")))
+    own = cut(classes.join(wanted, "place", "left_semi").select("place", _tokens(F.col("line"), shingle).alias("x")))
     both = pairs.join(own.select(F.col("place").alias("p1"), F.col("x").alias("x1")), "p1").join(own.select(F.col("place").alias("p2"), F.col("x").alias("x2")), "p2")
     both = both.withColumn("o", F.size(F.array_intersect("x1", "x2")))
     return cut(both.where(F.col("o") >= F.lit(t) * (F.size("x1") + F.size("x2") - F.col("o")) - F.lit(1e-9)).select(F.col("p2").alias("place")).distinct())
 
 
-def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+def repeated_places(classes: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t = similarity
-    prefixes, tables = ordered_prefixes(classes, t)
+    prefixes, tables = word_prefixes(classes, t) if shingle == 1 else ordered_prefixes(classes, t, _tokens(F.col("line"), shingle))
     order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
     me = F.struct("place", "n", "i", "bits")
     postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
@@ -158,7 +179,7 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place").where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
     release(classes)
-    settled = _verified(first, classes, t)
+    settled = _verified(first, classes, t, shingle)
     release(classes)
     # Left are pairs of a posting that are neither next to each other nor with its first: from the fourth line on.
     long = shared.where("c > 3").select("tok", "place", "n", "i", "bits", "r")
@@ -167,15 +188,15 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
     discard(shared)
     release(classes)
-    return cut(settled.unionByName(_verified(rest, classes, t)))
+    return cut(settled.unionByName(_verified(rest, classes, t, shingle)))
 
 
-def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
+def dedup_lines(documents: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
     """documents, all their columns, with text without the lines that go, and __n_lines, __n_removed."""
     places = Places(documents)
     classes = stored(line_classes(documents, places), "line-classes")
     release(classes)
-    gone = repeated_places(classes, similarity)
+    gone = repeated_places(classes, similarity, shingle)
     release(classes)
     doc, pos = places.parts(F.col("place"))
     stay = classes.select("place").join(gone, "place", "left_anti").select(doc.alias("__doc"), pos.alias("pos"))

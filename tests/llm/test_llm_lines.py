@@ -61,6 +61,29 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, frequent):
     assert got == brute_lines(rows)
 
 
+def brute_word_lines(rows, t=0.8):
+    seen, out = [], {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        kept = []
+        for line in (text or "").split("\n"):
+            s = set(line.encode().split())
+            if not (s and any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen)):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        out[d] = None if text is None and len(kept) == 1 else "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("frequent,most", [(100, 500_000), (2, 500_000), (2, 1)])
+def test_line_dedup_by_words_against_brute_force(spark, monkeypatch, frequent, most):
+    monkeypatch.setattr(lines, "FREQUENT", frequent)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
+    rows = line_rows()
+    got = {r.doc_id: r.text for r in lines.dedup_lines(table(spark, rows).repartition(3), shingle=1).collect()}
+    assert got == brute_word_lines(rows)
+
+
 def test_line_dedup_of_odd_tables(spark):
     far = [(1 << 62, "a b c\nd"), (-(1 << 62), "a b c"), (None, "d")]
     assert sorted((r.doc_id or 0, r.text) for r in lines.dedup_lines(table(spark, far)).collect()) == [(-(1 << 62), "a b c"), (0, "d"), (1 << 62, "")]

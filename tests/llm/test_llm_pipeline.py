@@ -128,6 +128,13 @@ def test_stages(spark, folder):
     assert left["pack"] == left["decontaminate"]
 
 
+def test_line_stage_removes_lines_with_one_word_changed(spark, folder):
+    line = [f"w{i}" for i in range(20)]
+    near = [*line[:10], "changed", *line[11:]]
+    out = corpus_pipeline.line_stage(spark, table(spark, [(1, " ".join(line)), (2, " ".join(near) + "\nother")]), folder)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: " ".join(line), 2: "other"}
+
+
 def test_run_gives_what_the_stages_give(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
