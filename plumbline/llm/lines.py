@@ -150,7 +150,7 @@ def _need(n1: Column, n2: Column, t: float) -> Column:
     return F.ceil(F.lit(t / (1 + t)) * (n1 + n2) - F.lit(1e-9))
 
 
-def _fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column, t: float) -> Column:
+def fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column, t: float) -> Column:
     """Length, positional and bitmap filters of a shared token at places i1 and i2 of sets of n1 and n2."""
     room = 1 + F.least(i1, i2) + F.least(n1 - i1, n2 - i2) - 1
     return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
@@ -176,7 +176,7 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8, shingle: int =
     for x in tables:
         discard(x)
     release(classes)
-    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place").where(_fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
+    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place").where(fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
     first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
     release(classes)
     settled = _verified(first, classes, t, shingle)
@@ -184,8 +184,8 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8, shingle: int =
     # Left are pairs of a posting that are neither next to each other nor with its first: from the fourth line on.
     long = shared.where("c > 3").select("tok", "place", "n", "i", "bits", "r")
     a, b = long.where("r > 1").alias("a"), long.where("r > 3").join(settled, "place", "left_anti").alias("b")
-    fits = _fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
-    rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.place") < F.col("b.place")) & fits).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
+    fit = fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
+    rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.place") < F.col("b.place")) & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
     discard(shared)
     release(classes)
     return cut(settled.unionByName(_verified(rest, classes, t, shingle)))

@@ -17,9 +17,11 @@ gives an empty result; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, texts
+from plumbline.llm import lines
+from plumbline.llm.common import cut, discard, release, stored, texts
 from plumbline.llm.components import connected_components
 
 #: Nodes in a bucket beyond which it is dealt again by further masks.
@@ -182,64 +184,46 @@ def simhash_components(documents: DataFrame, words: int = 3, radius: int = 3) ->
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- Near-duplicate documents by similarity, with the same tables as candidates' source
-
-#: Independent fingerprints of a document's set of words. One edited word changes five shingles but one word, so at
-#: a shingle similarity of 0.8 these differ in 4 or 5 of 64 bits, and a pair meets in one of four with chance 0.97.
-GROUPS = 4
-#: Links between colliding fingerprints are verified up to this distance.
-WITHIN = 12
-
-
-def _word_prints(words: list[bytes]):
-    import numpy as np
-    import xxhash
-
-    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
-    out = []
-    for g in range(GROUPS):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * (g + 1)) & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return out
+# --- Near-duplicate documents by similarity: an exact prefix-filter join of their sets of shingles
 
 
 def _prints(documents: DataFrame) -> DataFrame:
-    """doc_id, digest (of the lower-case words in their order) and fps of every row."""
+    """doc_id and node (64 bits of a digest of the lower-case words in their order) of every row."""
 
     def run(batches):
-        import hashlib
-
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            digests, fps = [], []
-            for t in b.column(1).to_pylist():
-                words = t.encode("utf-8", "surrogatepass").lower().split()
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                fps.append(np.array(_word_prints(words), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "digest", "fps"])
+            nodes = [_node(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64())], ["doc_id", "node"])
+
+    return texts(documents).mapInArrow(run, "doc_id long, node long")
+
 
-    return texts(documents).mapInArrow(run, "doc_id long, digest binary, fps array<long>")
+def _node(text: str) -> int:
+    import hashlib
+
+    joined = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+    return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """id and the sorted distinct hashes of its shingles, as bytes; docs: id, text."""
+    """place (the node) and x, the distinct hashes of its shingles; docs: id, text."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(_shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "set"])
+            own = b.column(1).to_pylist()
+            sets = [np.unique(_shingle_hashes(t, words).view(np.int64)) for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in own], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["place", "x"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "place long, x array<long>").where("size(x) > 0")
 
 
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """u, v of the pairs (u, v, su, sv) whose sets have the Jaccard similarity or more."""
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs (u, v) whose sets have the Jaccard similarity or more."""
 
     def run(batches):
         import numpy as np
@@ -247,38 +231,71 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
         for b in batches:
             keep = []
-            for a, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint64)
+            for a, c in zip(b.column(2), b.column(3), strict=True):
+                x, y = a.values.to_numpy(), c.values.to_numpy()
                 o = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(o >= similarity * (len(x) + len(y) - o) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    wanted = pairs.select(F.col("u").alias("place")).unionByName(pairs.select(F.col("v").alias("place"))).distinct()
+    own = cut(sets.join(wanted, "place", "left_semi"))
+    both = pairs.join(own.select(F.col("place").alias("u"), F.col("x").alias("su")), "u").join(own.select(F.col("place").alias("v"), F.col("x").alias("sv")), "v")
+    return cut(both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long").distinct())
+
 
+def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that connect any two of sets (place, x) that reach the similarity.
 
-def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    Pairs that share a token of their prefixes and pass the filters of lines.py include all that are similar. Each set is
+    first verified against the first and the previous of its tokens' postings. A pair left out there is verified
+    unless what was verified connects its ends already.
+    """
+    prefixes, tables = lines.ordered_prefixes(sets, similarity, F.col("x"))
+    order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
+    me = F.struct("place", "n", "i", "bits")
+    postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
+    shared = stored(postings.where("c > 1"), "shingle-postings")  # most tokens are in one set
+    for t in tables:
+        discard(t)
+    release(sets)
+    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place")
+    near = near.where(lines.fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), similarity))
+    first = cut(near.select(F.col("x.place").alias("u"), F.col("place").alias("v")).distinct())
+    release(sets)
+    links = _alike(first, sets, similarity)
+    named = connected_components(links).select(F.col("node").alias("place"), "component")
+    # Left are pairs of a posting that are neither next to each other nor with its first, and of two components.
+    long = cut(shared.where("c > 3 AND r > 1").select("tok", "place", "n", "i", "bits", "r").join(named, "place", "left").withColumn("component", F.coalesce("component", "place")))
+    discard(shared)
+    release(sets)
+    mixed = long.groupBy("tok").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("tok")
+    open_ = long.join(mixed, "tok", "left_semi")
+    a, b = open_.alias("a"), open_.alias("b")
+    fit = lines.fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), similarity)
+    rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.component") != F.col("b.component")) & fit)
+    rest = cut(rest.select(F.col("a.place").alias("u"), F.col("b.place").alias("v")).where("u <> v").distinct())
+    release(sets)
+    return links.unionByName(_alike(rest, sets, similarity))
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group), one row per row of documents that has a doc_id.
 
-    Candidates are pairs of fingerprints that covering tables bring together; each is verified on the documents'
-    sets of shingles, and groups are the components of verified pairs. Texts of the same words (letter case
-    aside) are one class and one node. Rows of one doc_id are placed together.
+    Groups are the components of all pairs whose sets of shingles reach the similarity. Texts of the same words (letter
+    case aside) are one class and one node. Rows of one doc_id are placed together.
     """
-    prints = cut(_prints(documents.where("doc_id IS NOT NULL")))
-    classes = cut(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "fps")).alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.posexplode("x.fps").alias("g", "fp")))
-    by_print = classes.groupBy("g", "fp").agg(F.min("id").alias("id"))
-    links = covering_links(by_print.select("g", "fp"), radius, WITHIN)
-    heads = by_print.select("g", "fp", "id")
-    linked = links.join(heads.select("g", F.col("fp").alias("u"), F.col("id").alias("a")), ["g", "u"]).join(heads.select("g", F.col("fp").alias("v"), F.col("id").alias("b")), ["g", "v"]).select("a", "b")
-    same = classes.join(heads.select("g", "fp", F.col("id").alias("b")), ["g", "fp"]).select(F.col("id").alias("a"), "b")
-    pairs = cut(linked.unionByName(same).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    docs = texts(documents).select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = cut(_shingle_sets(docs, words).groupBy("id").agg(F.min("set").alias("set")))
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
-    named = connected_components(_alike(both, similarity))
-    ids = classes.where("g = 0").select("digest", "id")
-    least = ids.join(named.select(F.col("node").alias("id"), "component"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(least, "digest").select("doc_id", "component_id")
+    documents = documents.where("doc_id IS NOT NULL")
+    prints = cut(_prints(documents))
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("id")))
+    docs = texts(documents).select(F.col("doc_id").alias("id"), "text").join(classes.select("id").distinct(), "id", "left_semi")
+    sets = stored(_shingle_sets(docs, words), "shingle-sets")  # a node more than once, if an id has several texts: no harm
+    one_id = prints.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("doc_id", "u")
+    together = prints.join(one_id, "doc_id").select("u", F.col("node").alias("v"))
+    named = connected_components(alike_links(sets, similarity).unionByName(together))
+    discard(sets)
+    members = classes.join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    least = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    return prints.join(members.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:

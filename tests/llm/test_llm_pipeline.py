@@ -110,6 +110,19 @@ def test_near_duplicate_groups(spark):
     assert simhash.keep_first(table(spark, rows).where("false")).count() == 0
 
 
+def test_near_duplicates_of_block_edits(spark):
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for _ in range(40):
+        base = fresh(200)
+        cut_short, longer, block = base[: int(rng.integers(162, 182))], base + fresh(int(rng.integers(20, 48))), list(base)
+        block[90:107] = fresh(17)
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((base, cut_short, longer, block))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, ids, seen = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}, {}
