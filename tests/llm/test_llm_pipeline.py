@@ -123,6 +123,15 @@ def test_near_duplicates_of_block_edits(spark):
     assert got == brute_groups(rows)
 
 
+def test_near_duplicates_beside_texts_of_the_same_words(spark):
+    base = [f"s{i}" for i in range(1200)]
+    swapped = list(base)
+    swapped[600], swapped[601] = swapped[601], swapped[600]
+    shuffled = [base[i] for i in np.random.default_rng(5).permutation(1200)]
+    rows = [(1, " ".join(shuffled)), (2, " ".join(base)), (3, " ".join(swapped))]
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, ids, seen = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}, {}
