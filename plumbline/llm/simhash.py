@@ -154,21 +154,17 @@ def _bucket_links(rows: DataFrame, keys: list[str], within: int) -> DataFrame:
     return dealt.mapInArrow(run, "g int, u long, v long").distinct()
 
 
-def covering_links(nodes: DataFrame, radius: int = 3, within: int | None = None) -> DataFrame:
-    """nodes: g, fp (each pair once). Links (g, u, v) that connect all nodes of one g within the radius.
-
-    within: links of colliding nodes are kept up to this distance (default: the radius).
-    """
-    within = radius if within is None else within
+def covering_links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """nodes: g, fp (each pair once). Links (g, u, v) that connect all nodes of one g within the radius."""
     first = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius))])).alias("x")
     keyed = nodes.select("g", "fp", first).select("g", "fp", (F.col("g") * 64 + F.col("x.t")).alias("t"), F.col("x.k").alias("k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")  # most buckets hold one node and go here
     shared = cut(keyed.join(sizes, ["t", "k"]))
-    links = _bucket_links(shared.where(F.col("n") <= HEAVY), ["t", "k"], within)
+    links = _bucket_links(shared.where(F.col("n") <= HEAVY), ["t", "k"], radius)
     if (shared.agg(F.max("n")).first()[0] or 0) > HEAVY:
         again = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius, shift=7))])).alias("x")
         finer = shared.where(F.col("n") > HEAVY).select("g", "fp", "t", "k", again).select("g", "fp", "t", "k", F.col("x.t").alias("t2"), F.col("x.k").alias("k2"))
-        links = links.unionByName(_bucket_links(finer, ["t", "k", "t2", "k2"], within)).distinct()
+        links = links.unionByName(_bucket_links(finer, ["t", "k", "t2", "k2"], radius)).distinct()
     return links
 
 

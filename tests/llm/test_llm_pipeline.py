@@ -132,6 +132,20 @@ def test_near_duplicates_beside_texts_of_the_same_words(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_near_duplicates_in_crowds_of_like_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 20)
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(80):
+        base = [f"v{x}" for x in rng.permutation(300)]  # the same words in another order
+        near = list(base)
+        for at in rng.integers(0, 300, 5):
+            near[at] = f"n{rng.integers(0, 1 << 40)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(near))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == brute_groups(rows) and len(set(got.values())) < 160
+
+
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, ids, seen = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}, {}
