@@ -87,8 +87,8 @@ def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, simil
     ).distinct()
     # Shared shingles in sight of a window; enough of them are a condition for the similarity.
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.least("m", F.greatest(F.lit(1), F.col("len") - F.lit(shingle) + 1))) - F.lit(1e-9))
-    near = W.partitionBy("doc_id", "item_id").orderBy("at")
-    ahead, behind = F.count("*").over(near.rangeBetween(0, 4096)), F.count("*").over(near.rangeBetween(-4096, 0))
+    near = W.partitionBy("doc_id", "item_id").orderBy(F.col("at") / F.col("m"))  # an item's length is 1
+    ahead, behind = F.count("*").over(near.rangeBetween(0, 1)), F.count("*").over(near.rangeBetween(-1, 0))
     hits = hits.withColumn("ahead", ahead).withColumn("behind", behind).withColumn("need", need)
     windows = hits.select("doc_id", "n", F.explode(F.array(
         F.struct((F.col("ahead") >= F.col("need")).alias("enough"), F.col("at").alias("start"), F.col("from_here").alias("win")),

@@ -137,6 +137,13 @@ def test_leaks_against_brute_force(spark):
     assert left == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_leak_of_an_item_of_over_4096_shingles(spark):
+    v = [f"z{i}" for i in range(4700)]
+    bench = spark.createDataFrame([(1, " ".join(v))], "item_id long, text string")
+    got = decontam.contaminated(table(spark, [(1, " ".join(v)), (2, " ".join(v[:3000]))]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.n_words, r.similarity) for r in got] == [(1, 1, 0, 4700, 1.0)]
+
+
 def test_no_leaks_in_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontam.contaminated(table(spark, []), bench).count() == 0
