@@ -30,6 +30,8 @@ _SPACES = " \t\n\x0b\x0c\r"
 SHINGLE = 5
 #: A token that is in more prefixes than this is frequent and comes last in the order.
 FREQUENT = 100
+#: The same for words of a line, of which most lines hold frequent ones: the others in order of their counts.
+FREQUENT_WORD = 5
 #: Rows of the table of frequent words up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 #: Buckets by which most tokens are told to be infrequent before any is counted by itself; a table of that many rows is broadcast.
@@ -135,7 +137,7 @@ def word_prefixes(classes: DataFrame, t: float) -> tuple[DataFrame, tuple[DataFr
     A frequent word's key is its count and 32 bits of its hash; two words of one key only add candidates.
     """
     words = classes.select("place", F.explode(_tokens(F.col("line"), 1)).alias("tok"))
-    counts = cut(words.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT))
+    counts = cut(words.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT_WORD))
     release(classes)
     small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     counted = F.shiftleft(F.least("c", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("tok").bitwiseAND(F.lit((1 << 32) - 1)))
@@ -156,6 +158,15 @@ def fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column,
     return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
 
 
+def shared_tokens(prefixes: DataFrame, t: float) -> DataFrame:
+    """The postings of more than one set: rank r of c by place, and the places a and b of the previous and the first set if they pass the filters."""
+    order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
+    me = F.struct("place", "n", "i", "bits")
+    postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
+    place = lambda x: F.when((F.col(f"{x}.place") < F.col("place")) & fits(F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{x}.bits"), F.col("n"), F.col("i"), F.col("bits"), t), F.col(f"{x}.place")).alias(x)
+    return postings.where("c > 1").select("tok", "place", "n", "i", "bits", "r", "c", place("a"), place("b"))  # most tokens are in one set
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, t: float, shingle: int) -> DataFrame:
     """The places p2 of pairs (p1, p2) that are similar enough. Only the candidates' lines are parted into tokens again."""
     wanted = pairs.select(F.col("p1").alias("place")).unionByName(pairs.select(F.col("p2").alias("place"))).distinct()
@@ -169,15 +180,11 @@ def repeated_places(classes: DataFrame, similarity: float = 0.8, shingle: int =
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t = similarity
     prefixes, tables = word_prefixes(classes, t) if shingle == 1 else ordered_prefixes(classes, t, _tokens(F.col("line"), shingle))
-    order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
-    me = F.struct("place", "n", "i", "bits")
-    postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
-    shared = stored(postings.where("c > 1"), "line-postings")  # most tokens are in one line
+    shared = stored(shared_tokens(prefixes, t), "line-postings")
     for x in tables:
         discard(x)
     release(classes)
-    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place").where(fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), t))
-    first = cut(near.select(F.col("x.place").alias("p1"), F.col("place").alias("p2")).distinct())
+    first = cut(shared.select(F.explode(F.array("a", "b")).alias("p1"), F.col("place").alias("p2")).where("p1 IS NOT NULL").distinct())
     release(classes)
     settled = _verified(first, classes, t, shingle)
     release(classes)

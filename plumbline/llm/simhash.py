@@ -17,7 +17,6 @@ gives an empty result; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import lines
@@ -247,16 +246,11 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
     unless what was verified connects its ends already.
     """
     prefixes, tables = lines.ordered_prefixes(sets, similarity, F.col("x"))
-    order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
-    me = F.struct("place", "n", "i", "bits")
-    postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
-    shared = stored(postings.where("c > 1"), "shingle-postings")  # most tokens are in one set
+    shared = stored(lines.shared_tokens(prefixes, similarity), "shingle-postings")
     for t in tables:
         discard(t)
     release(sets)
-    near = shared.where("a IS NOT NULL").select("place", "n", "i", "bits", F.explode(F.array("a", "b")).alias("x")).where("x.place < place")
-    near = near.where(lines.fits(F.col("x.n"), F.col("x.i"), F.col("x.bits"), F.col("n"), F.col("i"), F.col("bits"), similarity))
-    first = cut(near.select(F.col("x.place").alias("u"), F.col("place").alias("v")).distinct())
+    first = cut(shared.select(F.explode(F.array("a", "b")).alias("u"), F.col("place").alias("v")).where("u IS NOT NULL").distinct())
     release(sets)
     links = _alike(first, sets, similarity)
     named = connected_components(links).select(F.col("node").alias("place"), "component")

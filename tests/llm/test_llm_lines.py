@@ -77,7 +77,7 @@ def brute_word_lines(rows, t=0.8):
 
 @pytest.mark.parametrize("frequent,most", [(100, 500_000), (2, 500_000), (2, 1)])
 def test_line_dedup_by_words_against_brute_force(spark, monkeypatch, frequent, most):
-    monkeypatch.setattr(lines, "FREQUENT", frequent)
+    monkeypatch.setattr(lines, "FREQUENT_WORD", frequent)
     monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
     rows = line_rows()
     got = {r.doc_id: r.text for r in lines.dedup_lines(table(spark, rows).repartition(3), shingle=1).collect()}
