@@ -31,7 +31,7 @@ SHINGLE = 5
 #: A token that is in more prefixes than this is frequent and comes last in the order.
 FREQUENT = 100
 #: The same for words of a line, of which most lines hold frequent ones: the others in order of their counts.
-FREQUENT_WORD = 5
+FREQUENT_WORD = 30
 #: Rows of the table of frequent words up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 #: Buckets by which most tokens are told to be infrequent before any is counted by itself; a table of that many rows is broadcast.
@@ -95,7 +95,8 @@ def _cut_prefix(sets: DataFrame, t: float) -> DataFrame:
     """place, n, bits, i, tok: the prefix of each of the ordered sets (place, x)."""
     n = F.size("x")
     length = (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int")
-    return sets.select("place", n.alias("n"), _parity(F.col("x")).alias("bits"), F.posexplode(F.slice("x", 1, length)).alias("i", "tok"))
+    own = sets.select("place", n.alias("n"), _parity(F.col("x")).alias("bits"), F.slice("x", 1, length).alias("prefix"))  # beside the posexplode it would be computed for every token
+    return own.select("place", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
 
 
 def _often(rows: DataFrame) -> DataFrame:
