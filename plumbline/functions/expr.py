@@ -6,16 +6,17 @@ required parts are absent are NULL.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The normal-consistency scales of the two robust z conventions.
 ROBUST_Z_ERA = 0.6744897501960817
 ROBUST_Z_CANDIDATE = 1.4826
-#: Rank-stability labels and their lower bounds.
-STABILITY_LABELS = (("LOCKED", 0.90), ("PROBABLE", 0.65), ("CONTESTED", 0.35), ("UNLIKELY", 0.10))
 
 
 def c(x) -> Column:
@@ -127,13 +128,6 @@ def stronger_secondary(a, b, strong: float = 0.65) -> Column:
     return F.when(c(a).isNotNull() & c(b).isNotNull(), both).otherwise(F.coalesce(c(a), c(b)))
 
 
-def stability_label(share) -> Column:
-    out = F.when(c(share).isNull(), None)
-    for name, low in STABILITY_LABELS:
-        out = out.when(c(share) >= low, name)
-    return out.otherwise("REMOTE")
-
-
 def hash_fold(key, folds: int) -> Column:
     """A fold from the first 8 hex digits of the key's SHA-256."""
     return (F.conv(F.substring(F.sha2(c(key).cast("string"), 256), 1, 8), 16, 10).cast("bigint") % folds).cast("int")
@@ -149,15 +143,22 @@ def canonical_id(kind: str, provider: str, key, namespace: str) -> Column:
 
 
 def fingerprint(*columns) -> Column:
-    """Aggregate: an order-independent SHA-256 of rows, as the hash of their sorted hashes."""
+    """Aggregate: an order-independent SHA-256 of rows: of their number and the sums of four parts of their hashes, so no group is gathered."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(c(x).cast("string"), F.lit("~")) for x in columns]), 256)
-    return F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256)
+    sums = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), *sums), 256)
+
+
+@F.pandas_udf(StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    """Compatibility forms without their marks, case folded: no built-in function decomposes characters."""
+    plain = lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).casefold()
+    return names.map(plain)
 
 
 def search_name(text) -> Column:
-    """Lower case, common Latin accents stripped, runs of other characters as one space."""
-    plain = F.translate(F.lower(c(text)), "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    """Case folded, marks stripped (any script's), runs of other characters as one space."""
+    return F.trim(F.regexp_replace(_folded(c(text)), "[^a-z0-9]+", " "))
 
 
 def slug(text) -> Column:
@@ -198,10 +199,6 @@ def height_cm(text) -> Column:
     return F.round((f * 12 + i) * F.lit(2.54), 1)
 
 
-def era_group(year) -> Column:
-    return (F.floor(c(year) / 10) * 10).cast("int")
-
-
 def reason_codes(**flags) -> Column:
     """The names of the conditions that hold, as an array."""
     return F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]))

@@ -24,11 +24,10 @@ def midranked(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def kendall_tau(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Kendall's tau-a of two scores over at most a few thousand rows: one row n, concordant, discordant, tau."""
-    x, y = df.alias("x"), df.alias("y")
-    s = F.signum(F.col(f"x.{a}") - F.col(f"y.{a}")) * F.signum(F.col(f"x.{b}") - F.col(f"y.{b}"))
-    j = x.join(y, F.col(f"x.{key}") < F.col(f"y.{key}"))
-    return j.agg(F.count("*").alias("pairs"), F.count_if(s > 0).alias("concordant"), F.count_if(s < 0).alias("discordant")).withColumn("tau", (F.col("concordant") - F.col("discordant")) / F.col("pairs"))
+    """Kendall's tau-a of two scores: one row n, concordant, discordant, tau. Pairs are counted by blocks, not joined all with all."""
+    from plumbline.operators.evidence import concordance
+
+    return concordance(df, key, a, b)
 
 
 def eta_squared(df: DataFrame, group: str, value: str) -> DataFrame:

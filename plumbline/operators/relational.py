@@ -11,10 +11,10 @@ from plumbline.functions.expr import strict_sum
 
 def scoped_totals(df: DataFrame, entity: str, team: str, by: list[str], counts: dict[str, str], sums: list[str]) -> DataFrame:
     """Rows per (entity, team) and per entity in one pass: row_scope TEAM or TOTAL. counts: name -> column counted distinctly."""
-    names = ", ".join([*by, entity])
-    aggs = [f"count(DISTINCT {v}) AS {k}" for k, v in counts.items()] + [f"CASE WHEN count({s}) = count(*) THEN sum({s}) END AS {s}" for s in sums]
-    df.createOrReplaceTempView("__scoped")
-    return df.sparkSession.sql(f"SELECT {names}, {team}, CASE WHEN grouping({team}) = 0 THEN 'TEAM' ELSE 'TOTAL' END AS row_scope, {', '.join(aggs)} FROM __scoped GROUP BY GROUPING SETS (({names}, {team}), ({names}))")
+    sets = [[F.col(x) for x in (*by, entity, team)], [F.col(x) for x in (*by, entity)]]
+    aggs = [F.countDistinct(v).alias(k) for k, v in counts.items()] + [strict_sum(s).alias(s) for s in sums]
+    scope = F.when(F.grouping(team) == 0, "TEAM").otherwise("TOTAL").alias("row_scope")
+    return df.groupingSets(sets, *by, entity, team).agg(scope, *aggs).select(*by, entity, team, "row_scope", *counts, *sums)
 
 
 def strict_totals(df: DataFrame, by: list[str], sums: list[str]) -> DataFrame:

@@ -50,10 +50,10 @@ def _lin(weights):
 
 
 def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven scores in long form with their rank and the stability label of their level."""
+    """The seven scores in long form with their rank."""
     long = components(spark, sf_dir).unpivot(["entity"], list(WEIGHTS), "dimension", "score")
     r = P.competition_rank(long, ["dimension"], "score")
-    return r.select("entity", "dimension", "score", "rank", E.stability_label(F.col("score") / 100).alias("label"))
+    return r.select("entity", "dimension", "score", "rank")
 
 
 def overall_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _wo(kept):
 
 _MASK = {"no_peak": ["peak"], "no_awards": ["accolades", "winning"], "box_only": ["defense", "playoffs", "accolades"]}
 SQL = {
-    "dimension_scores": "WITH " + _COMP + ", l AS (" + " UNION ALL ".join(f"SELECT entity, '{k}' AS dimension, {k} AS score FROM c" for k in WEIGHTS) + ") SELECT *, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY dimension ORDER BY score DESC NULLS LAST) END AS rank, CASE WHEN score IS NULL THEN NULL WHEN score / 100 >= 0.9 THEN 'LOCKED' WHEN score / 100 >= 0.65 THEN 'PROBABLE' WHEN score / 100 >= 0.35 THEN 'CONTESTED' WHEN score / 100 >= 0.1 THEN 'UNLIKELY' ELSE 'REMOTE' END AS label FROM l",
+    "dimension_scores": "WITH " + _COMP + ", l AS (" + " UNION ALL ".join(f"SELECT entity, '{k}' AS dimension, {k} AS score FROM c" for k in WEIGHTS) + ") SELECT *, CASE WHEN score IS NOT NULL THEN rank() OVER (PARTITION BY dimension ORDER BY score DESC NULLS LAST) END AS rank FROM l",
     "overall_score_rank": "WITH " + _COMP + f", s AS (SELECT entity, round({_lin(WEIGHTS)}, 6) AS overall FROM c) SELECT entity, overall, CASE WHEN overall IS NOT NULL THEN row_number() OVER (ORDER BY overall DESC NULLS LAST, entity) END AS rank, CASE WHEN overall IS NULL THEN 'INCOMPLETE' ELSE 'RANKED' END AS status FROM s",
     "missingness_policies": "WITH " + _COMP + f", k0 AS (SELECT *, CASE WHEN accolades IS NULL THEN 0.9 ELSE 1.0 END AS cov FROM c) SELECT entity, round({_lin(WEIGHTS)}, 6) AS complete, round((" + " + ".join(f"coalesce({k} * {w}::DOUBLE, 0.0)" for k, w in WEIGHTS.items()) + ") / (" + " + ".join(f"CASE WHEN {k} IS NOT NULL THEN {w}::DOUBLE ELSE 0.0 END" for k, w in WEIGHTS.items()) + "), 6) AS renormalise, round(" + " + ".join(f"coalesce({k}, 0.0) * {w}::DOUBLE" for k, w in WEIGHTS.items()) + ", 6) AS zero, round(" + " + ".join(f"coalesce({k}, 50.0) * {w}::DOUBLE" for k, w in WEIGHTS.items()) + ", 6) AS neutral, CAST(round(cov, 6) AS DOUBLE) AS coverage, round(greatest(offense, defense) * 0.65::DOUBLE + least(offense, defense) * 0.35::DOUBLE, 6) AS two_way FROM k0",
     "weight_perturbation": _FULL + ", s AS (" + _scen_sql(_sets()) + "), r AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, entity) AS rank FROM s) SELECT entity, min(rank) AS best, max(rank) AS worst, round(avg(score), 4) AS mean_score FROM r GROUP BY 1",
