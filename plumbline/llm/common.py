@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words in every contract of this subpackage.
 WORD_SPACE = " \t\n\x0b\x0c\r"
+#: Spark's setting for shuffle files to go with the execution that wrote them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The same as a Java regular expression for one run of it.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -35,10 +38,22 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _own_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of what is run here when it ends: its result is written, and nothing reads them again."""
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there; a lost executor costs nothing that was cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _own_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def texts(documents: DataFrame) -> DataFrame:
@@ -49,7 +64,8 @@ def texts(documents: DataFrame) -> DataFrame:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a compressed table in the shared folder, for results that are large or read with few of their columns."""
     path = scratch_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with _own_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

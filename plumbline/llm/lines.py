@@ -1,21 +1,24 @@
 """Line dedup by an exact set-similarity join (operator 8). DataFrame functions only.
 
-A line's tokens are its runs of `shingle` words (of fewer words, the whole line); with shingle=1 its words. A line goes if any earlier line (by
-doc_id, then line number) has a Jaccard similarity of tokens of at least the threshold; equal lines are the case of 1.
-Lines without words stay.
-
-Equal lines are one class, placed at its first line; classes are joined. Tokens are ordered by rarity: those that
-many lines share come last, the others by their hash, which is an order as good as any among tokens that hardly occur. By one such order for all lines, any two sets similar enough share a token among the first
-n - ceil(t n) + 1 of each (prefix filter), where their sizes differ little enough (length filter) and enough tokens can
-be shared before and after it (positional filter), and where their parity bitmaps (64 bits, each token flips one)
-differ in no more bits than the sets may differ in tokens (bitmap filter). Pairs that pass are verified on the whole sets.
-
-A line needs one earlier match, so each is first verified against the first and the previous line of its tokens'
-postings, which is linear; only lines that none of those matches are joined with all that come before. A dense group
-of near copies thus doesn't make pairs by the square.
+A line's tokens are its distinct words. A line goes if any earlier line (by doc_id, then line number) has a Jaccard
+similarity of tokens of at least the threshold; equal lines are the case of 1. Lines without words stay.
+
+Equal lines are one class, placed at its first line; classes are joined. A token is a 64-bit number that stands for
+its word and orders all words by rarity: words are counted in 2^BUCKET_BITS hash buckets over the whole corpus, and a
+token is its bucket's place in the order of counts, then the rest of the hash. By one such order for all lines, any two
+sets similar enough share a token among the first n - ceil(t n) + 1 of each (prefix filter), where their sizes
+differ little enough (length filter), where from their first shared token on enough can be shared (positional
+filter), and where their parity bitmaps (64 bits, each token flips one) differ in no more bits than the sets may
+differ in tokens (bitmap filter). Pairs that pass are verified on the whole sets. Buckets that several words share
+only make the order less fine: results don't depend on it.
+
+A line needs one earlier match, so of the lines before it and the first in its tokens' postings the nearest by bitmap
+is verified first, which is linear; only lines that it does not match are joined with all that come before. A
+dense group of near copies thus doesn't make pairs by the square.
 
 Null texts have no lines. Rows of one doc_id count as one document for line numbers: of lines with the same place,
-all stay or all go. Null doc_ids come first. Empty tables give an empty result; other columns stay as they are.
+all stay or all go. Null doc_ids come first. Lines and texts of any length are whole. Empty tables give an empty
+result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -24,34 +27,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, cut, discard, let, release, stored, texts
+from plumbline.llm.common import SPACE_RUN, cut, discard, let, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
-SHINGLE = 5
-#: A token that is in more prefixes than this is frequent and comes last in the order.
-FREQUENT = 100
-#: The same for words of a line, of which most lines hold frequent ones: the others in order of their counts.
-FREQUENT_WORD = 30
-#: Rows of the table of frequent words up to which it is broadcast.
-BROADCAST_ROWS = 500_000
-#: Buckets by which most tokens are told to be infrequent before any is counted by itself; a table of that many rows is broadcast.
-BUCKETS = 1 << 16
+#: Words are counted in 2 to this power buckets; their order, 4 bytes a bucket, is sent to every task.
+BUCKET_BITS = 18
+#: Lines before a line in a posting that are candidates of the first, linear pass.
+NEAR = 2
 
 
 def _words(line: Column) -> Column:
-    """The words of a line and perhaps empty strings. Plain spaces are parted without a regular expression."""
+    """The words of a line that has some. Plain spaces are parted without a regular expression."""
     odd = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c") | line.contains("  ")
     return F.split(F.trim(F.when(odd, F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line)), " ")
 
 
-def _tokens(line: Column, shingle: int = SHINGLE) -> Column:
-    """XXH64 of the distinct shingles of a line."""
-    if shingle == 1:
-        return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    shingles = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - shingle + 1)), lambda i: F.xxhash64(F.slice(w, i, shingle)))
-    return F.array_distinct(let(_words(line), shingles))
-
-
 class Places:
     """(doc_id, line number) as one number in their order: a long where all fit one, else a decimal. Null doc_ids come first."""
 
@@ -86,67 +76,34 @@ def line_classes(documents: DataFrame, places: Places) -> DataFrame:
     return every.where(F.trim("line", F.lit(_SPACES)) != "").groupBy("line").agg(F.min(places.of(F.col("doc_id"), F.col("pos"))).alias("place"))
 
 
-def _parity(tokens: Column) -> Column:
+def rarity(documents: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
+    """One row, t: the place of each hash bucket in the order of its words' occurrences in the whole corpus, as the high bits of a signed number."""
+    words = texts(documents).select(F.explode(F.split("text", SPACE_RUN)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).agg(F.count("*").alias("c"))
+    every = documents.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select(F.coalesce("c", F.lit(0)).alias("c"), "b")
+    ranked = every.agg(F.sort_array(F.collect_list(F.struct("c", "b"))).alias("s")).select(F.posexplode("s").alias("rank", "x"))  # 2^bits rows, whatever the corpus
+    return cut(ranked.agg(F.sort_array(F.collect_list(F.struct(F.col("x.b").alias("b"), "rank"))).alias("s")).select(F.transform("s", lambda x: F.shiftleft(x["rank"].cast("long") - F.lit(1 << (bits - 1)), 64 - bits)).alias("t")))
+
+
+def tokens(classes: DataFrame, ranks: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
+    """place and x, the distinct words of each line as numbers in the order of rarity. A bucket's place takes the stead of its hashes' low bits, so numbers are equal where hashes are."""
+    number = lambda t, h: F.get(t, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, bits))
+    placed = classes.select("place", "line", ranks.scalar().alias("t"))  # one array for all rows, which the next step refers to
+    numbers = F.transform(F.array("t"), lambda t: F.transform(_words(F.col("line")), lambda w: number(t, F.xxhash64(w))))
+    return placed.select("place", F.sort_array(F.array_distinct(F.get(numbers, F.lit(0)))).alias("x"))
+
+
+def _parity(x: Column) -> Column:
     """64 bits, of which each token flips one: the sets differ in at least as many tokens as their bitmaps in bits."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.aggregate(x, F.lit(0).cast("long"), lambda b, h: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _cut_prefix(sets: DataFrame, t: float) -> DataFrame:
+def prefixes(sets: DataFrame, t: float) -> DataFrame:
     """place, n, bits, i, tok: the prefix of each of the ordered sets (place, x)."""
     n = F.size("x")
     length = (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int")
     own = sets.select("place", n.alias("n"), _parity(F.col("x")).alias("bits"), F.slice("x", 1, length).alias("prefix"))  # beside the posexplode it would be computed for every token
-    return own.select("place", "n", "bits", F.posexplode("prefix").alias("i", "tok"))
-
-
-def _often(rows: DataFrame) -> DataFrame:
-    """The tokens that more than FREQUENT rows hold. Only those in buckets with as many rows are counted one by one."""
-    bucket = F.shiftrightunsigned("tok", 20).bitwiseAND(F.lit(BUCKETS - 1))
-    full = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("b")
-    return rows.select("tok", bucket.alias("b")).join(F.broadcast(full), "b").groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT).select("tok")
-
-
-def ordered_prefixes(classes: DataFrame, t: float, own: Column) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """Prefixes in the order of rarity: tokens that are not frequent by their hash, then the frequent. With them the stored
-    tables they are read from. own: the tokens of a class.
-
-    Prefixes by hash alone show which lines hold frequent tokens early, and all tokens of those lines which tokens
-    are frequent. A line whose prefix by hash holds none of these has the same prefix in the order of rarity, so
-    only the others are ordered anew. What they had by hash does no harm but for its frequent tokens, which go.
-    """
-    plain = stored(_cut_prefix(classes.select("place", F.sort_array(own).alias("x")), t), "line-prefixes")
-    early = cut(_often(plain))
-    touched = cut(plain.join(early, "tok", "left_semi").select("place").distinct())
-    release(classes)
-    tokens = classes.join(touched, "place", "left_semi").select(F.explode(own).alias("tok"))
-    frequent = cut(_often(tokens).unionByName(early).distinct())
-    touched = cut(plain.join(frequent, "tok", "left_semi").select("place").distinct())
-    release(classes)
-    sets = stored(classes.join(touched, "place", "left_semi").select("place", F.sort_array(own).alias("x")), "line-sets")
-    late = sets.select("place", F.explode("x").alias("tok")).join(frequent, "tok").groupBy("place").agg(F.sort_array(F.collect_list("tok")).alias("late"))  # of one line
-    again = stored(_cut_prefix(sets.join(late, "place").select("place", F.concat(F.array_except("x", "late"), "late").alias("x")), t), "line-prefixes")
-    discard(sets)
-    release(classes)
-    both = plain.withColumn("anew", F.lit(False)).unionByName(again.withColumn("anew", F.lit(True)))
-    marked = both.join(frequent.withColumn("often", F.lit(True)), "tok", "left")
-    return marked.where(F.col("anew") | F.col("often").isNull()).select("tok", "place", "n", "i", "bits"), (plain, again)
-
-
-def word_prefixes(classes: DataFrame, t: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """Like ordered_prefixes for words, of which most lines hold frequent ones: these come in the order of their exact counts.
-
-    A frequent word's key is its count and 32 bits of its hash; two words of one key only add candidates.
-    """
-    words = classes.select("place", F.explode(_tokens(F.col("line"), 1)).alias("tok"))
-    counts = cut(words.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") > FREQUENT_WORD))
-    release(classes)
-    small = counts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    counted = F.shiftleft(F.least("c", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("tok").bitwiseAND(F.lit((1 << 32) - 1)))
-    key = F.when(F.col("c").isNull(), F.col("tok").bitwiseOR(F.lit(-(1 << 63)))).otherwise(counted)  # what is not frequent is negative
-    sets = words.join(F.broadcast(counts) if small else counts, "tok", "left").groupBy("place").agg(F.sort_array(F.collect_list(key)).alias("x"))  # of one line
-    prefixes = stored(_cut_prefix(sets, t), "line-prefixes")
-    release(classes)
-    return prefixes, (prefixes,)
+    return own.select("place", "n", "bits", F.posexplode_outer("prefix").alias("i", "tok"))  # outer: no filter is inferred that would make all of this twice
 
 
 def _need(n1: Column, n2: Column, t: float) -> Column:
@@ -154,62 +111,63 @@ def _need(n1: Column, n2: Column, t: float) -> Column:
 
 
 def fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column, t: float) -> Column:
-    """Length, positional and bitmap filters of a shared token at places i1 and i2 of sets of n1 and n2."""
-    room = 1 + F.least(i1, i2) + F.least(n1 - i1, n2 - i2) - 1
-    return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (room >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
+    """Length, positional and bitmap filters of a shared token at places i1 and i2 of sets of n1 and n2. Similar sets pass at the first token that they share."""
+    return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (F.least(n1 - i1, n2 - i2) >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
 
 
-def shared_tokens(prefixes: DataFrame, t: float) -> DataFrame:
-    """The postings of more than one set: rank r of c by place, and the places a and b of the previous and the first set if they pass the filters."""
-    order, whole = W.partitionBy("tok").orderBy("place"), W.partitionBy("tok")
+def postings(rows: DataFrame, t: float, near: int = NEAR) -> DataFrame:
+    """Rows of tokens that several sets share: r counts them by place; found: the earlier ones among the `near` before it and the first that pass the filters, as (bits that differ, place)."""
+    order = W.partitionBy("tok").orderBy("place")
     me = F.struct("place", "n", "i", "bits")
-    postings = prefixes.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.count("*").over(whole).alias("c"), F.lag(me).over(order).alias("a"), F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("b"))
-    place = lambda x: F.when((F.col(f"{x}.place") < F.col("place")) & fits(F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{x}.bits"), F.col("n"), F.col("i"), F.col("bits"), t), F.col(f"{x}.place")).alias(x)
-    return postings.where("c > 1").select("tok", "place", "n", "i", "bits", "r", "c", place("a"), place("b"))  # most tokens are in one set
+    seen = [F.lag(me, k).over(order) for k in range(1, near + 1)] + [F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0))]
+    every = rows.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.lead("place").over(order).alias("next"), *[x.alias(f"x{k}") for k, x in enumerate(seen)])
+
+    def candidate(x: str) -> Column:
+        fit = (F.col(f"{x}.place") < F.col("place")) & fits(F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{x}.bits"), F.col("n"), F.col("i"), F.col("bits"), t)
+        return F.when(fit, F.struct(F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col("bits"))).alias("d"), F.col(f"{x}.place").alias("p1")))
 
+    found = F.array_compact(F.array(*[candidate(f"x{k}") for k in range(near + 1)]))
+    return every.where("r > 1 OR next IS NOT NULL").select("tok", "place", "n", "i", "bits", "r", found.alias("found"))  # most tokens are in one set
 
-def _verified(pairs: DataFrame, classes: DataFrame, t: float, shingle: int) -> DataFrame:
+
+def left_pairs(open_: DataFrame, every: DataFrame, t: float) -> DataFrame:
+    """All (p1, p2) of a token in both that pass the filters, p1 before p2; p2 of open_, p1 of every."""
+    a, b = every.alias("a"), open_.alias("b")
+    fit = fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
+    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
     """The places p2 of pairs (p1, p2) that are similar enough. Only the candidates' lines are parted into tokens again."""
-    wanted = pairs.select(F.col("p1").alias("place")).unionByName(pairs.select(F.col("p2").alias("place"))).distinct()
-    own = cut(classes.join(wanted, "place", "left_semi").select("place", _tokens(F.col("line"), shingle).alias("x")))
+    wanted = pairs.select(F.explode(F.array("p1", "p2")).alias("place")).distinct()
+    own = cut(tokens(classes.join(wanted, "place", "left_semi"), ranks))
     both = pairs.join(own.select(F.col("place").alias("p1"), F.col("x").alias("x1")), "p1").join(own.select(F.col("place").alias("p2"), F.col("x").alias("x2")), "p2")
-    both = both.withColumn("o", F.size(F.array_intersect("x1", "x2")))
-    return cut(both.where(F.col("o") >= F.lit(t) * (F.size("x1") + F.size("x2") - F.col("o")) - F.lit(1e-9)).select(F.col("p2").alias("place")).distinct())
+    both = both.select("p2", F.size("x1").alias("n1"), F.size("x2").alias("n2"), F.size(F.array_intersect("x1", "x2")).alias("o"))
+    return cut(both.where(F.col("o") >= F.lit(t) * (F.col("n1") + F.col("n2") - F.col("o")) - F.lit(1e-9)).select(F.col("p2").alias("place")).distinct())
 
 
-def repeated_places(classes: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
+def repeated_places(classes: DataFrame, ranks: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t = similarity
-    prefixes, tables = word_prefixes(classes, t) if shingle == 1 else ordered_prefixes(classes, t, _tokens(F.col("line"), shingle))
-    shared = stored(shared_tokens(prefixes, t), "line-postings")
-    for x in tables:
-        discard(x)
-    release(classes)
-    first = cut(shared.select(F.explode(F.array("a", "b")).alias("p1"), F.col("place").alias("p2")).where("p1 IS NOT NULL").distinct())
-    release(classes)
-    settled = _verified(first, classes, t, shingle)
-    release(classes)
-    # Left are pairs of a posting that are neither next to each other nor with its first: from the fourth line on.
-    long = shared.where("c > 3").select("tok", "place", "n", "i", "bits", "r")
-    a, b = long.where("r > 1").alias("a"), long.where("r > 3").join(settled, "place", "left_anti").alias("b")
-    fit = fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
-    rest = cut(a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.place") < F.col("b.place")) & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct())
+    rows = prefixes(tokens(classes, ranks), t)
+    shared = stored(postings(rows, t), "line-postings")
+    nearest = shared.where(F.size("found") > 0).groupBy(F.col("place").alias("p2")).agg(F.min(F.array_min("found")).alias("x"))
+    settled = _verified(cut(nearest.select("x.p1", "p2")), classes, ranks, t)
+    every = shared.select("tok", "place", "n", "i", "bits")
+    left = cut(left_pairs(shared.where("r > 1").select("tok", "place", "n", "i", "bits").join(settled, "place", "left_anti"), every, t))
     discard(shared)
-    release(classes)
-    return cut(settled.unionByName(_verified(rest, classes, t, shingle)))
+    return cut(settled.unionByName(_verified(left, classes, ranks, t)))
 
 
-def dedup_lines(documents: DataFrame, similarity: float = 0.8, shingle: int = SHINGLE) -> DataFrame:
+def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:
     """documents, all their columns, with text without the lines that go, and __n_lines, __n_removed."""
     places = Places(documents)
     classes = stored(line_classes(documents, places), "line-classes")
-    release(classes)
-    gone = repeated_places(classes, similarity, shingle)
-    release(classes)
+    gone = repeated_places(classes, rarity(documents), similarity)
     doc, pos = places.parts(F.col("place"))
-    stay = classes.select("place").join(gone, "place", "left_anti").select(doc.alias("__doc"), pos.alias("pos"))
-    kept = stay.groupBy("__doc").agg(F.collect_list("pos").alias("__kept"))
-    joined = documents.join(kept, places.key(documents["doc_id"].cast("long")) == F.col("__doc"), "left").drop("__doc")
+    kept = stored(classes.select("place").join(gone, "place", "left_anti").select(doc.alias("__doc"), pos.alias("pos")).groupBy("__doc").agg(F.collect_list("pos").alias("__kept")), "line-places")
+    discard(classes)
+    joined = documents.join(kept.hint("shuffle_hash"), places.key(documents["doc_id"].cast("long")) == F.col("__doc"), "left").drop("__doc")  # of one document; texts needn't be sorted
     lines, known = F.split(F.coalesce("text", F.lit("")), "\n"), F.coalesce("__kept", F.array().cast("array<int>"))
     numbers = lambda ls: F.sequence(F.lit(0), F.size(ls) - 1)
     blank = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(F.trim(x, F.lit(_SPACES)) == "", i)), lambda i: i.isNotNull())

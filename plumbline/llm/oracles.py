@@ -28,12 +28,14 @@ FROM own o LEFT JOIN fits f ON o.page_id = f.page_id AND f.n = 1
 
 OP8 = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, pos, line, list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS ws FROM l),
-cl AS (SELECT line, any_value(ws) AS ws, min((doc_id, pos)) AS place FROM w WHERE len(ws) > 0 GROUP BY line),
-s AS (SELECT place, list_distinct(CASE WHEN len(ws) <= 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS sh FROM cl),
-e AS (SELECT place, len(sh) AS n, unnest(sh) AS tok FROM s),
-p AS (SELECT a.place AS p1, b.place AS p2, any_value(a.n) + any_value(b.n) AS n, count(*) AS o FROM e a JOIN e b ON a.tok = b.tok AND a.place < b.place GROUP BY 1, 2),
-gone AS (SELECT DISTINCT p2 AS place FROM p WHERE o >= 0.8::DOUBLE * (n - o) - 1e-9),
+w AS (SELECT doc_id, pos, line, list_distinct(list_filter(string_split_regex(line, '[ \t\x0B\f\r]+'), lambda x: x <> '')) AS ws FROM l),
+cl AS (SELECT line, any_value(ws) AS ws, len(any_value(ws)) AS n, min((doc_id, pos)) AS place FROM w WHERE len(ws) > 0 GROUP BY line),
+e AS (SELECT place, n, unnest(ws) AS tok FROM cl),
+o AS (SELECT place, n, tok, row_number() OVER (PARTITION BY place ORDER BY c, tok) AS i FROM e JOIN (SELECT tok, count(*) AS c FROM e GROUP BY tok) USING (tok)),
+p AS (SELECT place, n, tok FROM o WHERE i <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.place AS p1, b.place AS p2 FROM p a JOIN p b ON a.tok = b.tok AND a.place < b.place AND least(a.n, b.n) >= 0.8::DOUBLE * greatest(a.n, b.n) - 1e-9),
+v AS (SELECT c.p2 AS place, a.n + b.n AS n, len(list_intersect(a.ws, b.ws)) AS o FROM c JOIN cl a ON a.place = c.p1 JOIN cl b ON b.place = c.p2),
+gone AS (SELECT DISTINCT place FROM v WHERE o >= 0.8::DOUBLE * (n - o) - 1e-9),
 keep AS (SELECT place FROM cl WHERE place NOT IN (SELECT place FROM gone)),
 k AS (SELECT w.doc_id, w.pos, w.line, len(ws) = 0 OR keep.place IS NOT NULL AS stays FROM w LEFT JOIN keep ON keep.place = (w.doc_id, w.pos)),
 t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '') AS kept FROM k GROUP BY 1)

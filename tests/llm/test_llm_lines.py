@@ -23,8 +23,7 @@ def brute_lines(rows, t=0.8):
     for d, text in order:
         kept = []
         for line in (text or "").split("\n"):
-            w = line.encode().split()
-            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            s = set(line.encode().split())
             gone = bool(s) and any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen)
             if s:
                 seen.append(s)
@@ -37,13 +36,13 @@ def brute_lines(rows, t=0.8):
 def line_rows():
     rng = np.random.default_rng(9)
     word = lambda n, v: [f"w{int(x ** 2 * v)}" for x in rng.random(n)]
-    base = [word(int(n), 400) for n in rng.integers(1, 70, 25)]
+    base = [word(int(n), 400) for n in rng.integers(1, 40, 25)]
     rows = [(0, None), (1, ""), (2, "\n \n"), (3, "same line here"), (4, "same line here\n\nsame  line\there"), (5, "here line same"), (6, "é😀 x\r\n" + "y " * 500)]
     for i in range(60):
         own = []
         for b in rng.choice(25, rng.integers(1, 6)):
             line = list(base[b])
-            for at in rng.integers(0, len(line), rng.integers(0, 3)):
+            for at in rng.integers(0, len(line), rng.integers(0, 4)):
                 line[at] = word(1, 400)[0]
             own.append(" ".join(line) + (" extra" if rng.random() < 0.2 else ""))
         rows.append((i + 10, "\n".join(own)))
@@ -51,9 +50,12 @@ def line_rows():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [200, 2])
-def test_line_dedup_against_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(lines, "FREQUENT", frequent)
+@pytest.mark.parametrize("bits,near", [(18, 2), (2, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, bits, near):
+    """Whatever the order of words and the first candidates are."""
+    monkeypatch.setattr(lines.rarity, "__defaults__", (bits,))
+    monkeypatch.setattr(lines.tokens, "__defaults__", (bits,))
+    monkeypatch.setattr(lines.postings, "__defaults__", (near,))
     rows = line_rows()
     out = lines.dedup_lines(table(spark, rows).repartition(3))
     assert out.columns == ["doc_id", "text", "place", "line", "x", "__n_lines", "__n_removed"]
@@ -61,27 +63,25 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, frequent):
     assert got == brute_lines(rows)
 
 
-def brute_word_lines(rows, t=0.8):
-    seen, out = [], {}
-    for d, text in sorted(rows, key=lambda r: r[0]):
-        kept = []
-        for line in (text or "").split("\n"):
-            s = set(line.encode().split())
-            if not (s and any(len(s & o) >= t * len(s | o) - 1e-9 for o in seen)):
-                kept.append(line)
-            if s:
-                seen.append(s)
-        out[d] = None if text is None and len(kept) == 1 else "\n".join(kept)
-    return out
+def test_lines_of_a_dense_group(spark):
+    """Near copies of one another, of which many are under the threshold to most."""
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.integers(0, 40, rng.integers(2, 7)):
+            own[at] = f"x{rng.integers(0, 1 << 30)}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r["__n_lines"], r.text) for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows)
 
 
-@pytest.mark.parametrize("frequent,most", [(100, 500_000), (2, 500_000), (2, 1)])
-def test_line_dedup_by_words_against_brute_force(spark, monkeypatch, frequent, most):
-    monkeypatch.setattr(lines, "FREQUENT_WORD", frequent)
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
-    rows = line_rows()
-    got = {r.doc_id: r.text for r in lines.dedup_lines(table(spark, rows).repartition(3), shingle=1).collect()}
-    assert got == brute_word_lines(rows)
+def test_very_long_lines(spark):
+    v = [f"z{i}" for i in range(60_000)]
+    rows = [(1, " ".join(v)), (2, " ".join(v[:50_000])), (3, " ".join(v[:40_000])), (4, "q " * 90_000)]
+    got = {r.doc_id: (r["__n_lines"], r.text) for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows)
 
 
 def test_line_dedup_of_odd_tables(spark):
