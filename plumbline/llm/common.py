@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,19 +76,6 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release(df: DataFrame, least_bytes: int = 16 << 20) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's objects for them are collected.
-
-    df: what the steps worked on; if that is small, so are the files, and nothing is waited for.
-    """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < least_bytes:
-        return
-    gc.collect()
-    time.sleep(1.5)  # Python's references reach the driver's JVM by a thread that looks for them once a second
-    df.sparkSession.sparkContext._jvm.System.gc()
-    time.sleep(0.7)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row: what a lambda refers to from outside is otherwise computed for every element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -16,12 +16,16 @@ gives an empty result; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import lines
-from plumbline.llm.common import cut, discard, release, stored, texts
+from plumbline.llm.common import cut, discard, stored, texts
 from plumbline.llm.components import connected_components
+from plumbline.llm.substrings import run_hashes
 
 #: Nodes in a bucket beyond which it is dealt again by further masks.
 HEAVY = 20_000
@@ -179,20 +183,26 @@ def simhash_components(documents: DataFrame, words: int = 3, radius: int = 3) ->
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- Near-duplicate documents by similarity: an exact prefix-filter join of their sets of shingles
+# --- Near-duplicate documents by similarity: SimHash candidates first, then an exact prefix-filter join for the rest
 
+#: Shingles are counted in 2 to this power buckets, of which tasks get a byte each; commoner ones come last in prefixes.
+COUNT_BITS = 20
+#: Bits of a bucket's number within one part of the counts.
+_PART_BITS = 16
+#: Earlier sets that each set is first verified against.
+FIRST = 4
 
-def _prints(documents: DataFrame) -> DataFrame:
-    """doc_id and node (64 bits of a digest of the lower-case words in their order) of every row."""
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            nodes = [_node(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64())], ["doc_id", "node"])
+def shingle_set(text: str, words: int):
+    """Distinct 64-bit hashes of the lower-case shingles of a text, sorted; of fewer words, of all of them; none without words."""
+    import numpy as np
+    import xxhash
 
-    return texts(documents).mapInArrow(run, "doc_id long, node long")
+    own = text.encode("utf-8", "surrogatepass").lower().split()
+    if not own:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    return np.unique(run_hashes(h, min(words, len(own))).view(np.int64))
 
 
 def _node(text: str) -> int:
@@ -202,23 +212,104 @@ def _node(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(joined, digest_size=8).digest(), "little", signed=True)
 
 
-def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """place (the node) and x, the distinct hashes of its shingles; docs: id, text."""
+def _mixed(x):
+    """Hashes mixed anew, so that buckets and orders don't follow how the hash was made."""
+    import numpy as np
+
+    y = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return y ^ (y >> np.uint64(31))
+
+
+def _read_once(documents: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (a digest of the lower-case words in their order) and fp (SimHash of their shingles) of every row; and rows of part and counts, the number of sets that hold shingles of each bucket."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        names = ["doc_id", "node", "fp", "part", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for b in batches:
+            nodes, fps = [], []
+            for t in b.column(1).to_pylist():
+                x = shingle_set(t, words)
+                counts += np.bincount(_mixed(x) & np.uint64((1 << COUNT_BITS) - 1), minlength=len(counts)).astype(np.uint32) if len(x) > 1 << 16 else 0
+                if 0 < len(x) <= 1 << 16:
+                    np.add.at(counts, _mixed(x) & np.uint64((1 << COUNT_BITS) - 1), 1)
+                nodes.append(_node(t))
+                fps.append(majority(_mixed(x)))
+            own = [b.column(0), pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.nulls(len(nodes), kinds[3]), pa.nulls(len(nodes), kinds[4])]
+            yield pa.RecordBatch.from_arrays(own, names)
+        parts = counts.reshape(-1, 1 << _PART_BITS)
+        if counts.any():
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, k) for k in kinds[:3]] + [pa.array(range(n), kinds[3]), pa.array([zlib.compress(x.tobytes(), 1) for x in parts], kinds[4])], names)
+
+    return texts(documents).mapInArrow(run, "doc_id long, node long, fp long, part int, counts binary")
+
+
+def _commonness(parts: DataFrame):
+    """A byte for each bucket: four times the binary logarithm of its count. parts: part, counts; what reaches the driver is one byte a bucket."""
+    import numpy as np
+
+    def add(batches):
+        import pyarrow as pa
+
+        total: dict = {}
         for b in batches:
-            own = b.column(1).to_pylist()
-            sets = [np.unique(_shingle_hashes(t, words).view(np.int64)) for t in own]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(t) for t in own], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["place", "x"])
+            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+                total[p] = total[p] + x if p in total else x
+        if total:
+            classes = [np.minimum(255, 4 * np.log2(np.maximum(1, x))).astype(np.uint8).tobytes() for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(classes, pa.binary())], ["part", "classes"])
 
-    return docs.mapInArrow(run, "place long, x array<long>").where("size(x) > 0")
+    out = np.zeros((1 << (COUNT_BITS - _PART_BITS), 1 << _PART_BITS), np.uint8)
+    for r in parts.repartition(1 << (COUNT_BITS - _PART_BITS), "part").mapInArrow(add, "part int, classes binary").collect():
+        out[r.part] = np.frombuffer(r.classes, np.uint8)
+    return out.ravel()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v of the pairs (u, v) whose sets have the Jaccard similarity or more."""
+def _prefixes(reps: DataFrame, words: int, similarity: float, common) -> DataFrame:
+    """place (the node), n, bits, i, tok of each shingle in the prefix of a set, rare ones first; reps: node, text."""
+    sent = reps.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                b = batch.slice(s, 256)
+                rows = []
+                for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    x = shingle_set(text, words)
+                    n = len(x)
+                    if not n:
+                        continue
+                    y = _mixed(x)
+                    order = np.lexsort((y, sent.value[y & np.uint64((1 << COUNT_BITS) - 1)]))
+                    tok = x[order[: n - math.ceil(similarity * n - 1e-9) + 1]]
+                    parity = np.bitwise_xor.reduce(np.left_shift(np.uint64(1), y & np.uint64(63))).view(np.int64)
+                    k = len(tok)
+                    rows.append((np.full(k, node), np.full(k, n, np.int32), np.full(k, parity), np.arange(k, dtype=np.int32), tok))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["place", "n", "bits", "i", "tok"])
+
+    return reps.mapInArrow(run, "place long, n int, bits long, i int, tok long")
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v of the pairs (u, v) whose sets of shingles have the Jaccard similarity or more. Only the candidates' texts are read again."""
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                b = batch.slice(s, 256)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["place", "x"])
 
     def run(batches):
         import numpy as np
@@ -232,62 +323,81 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(o >= similarity * (len(x) + len(y) - o) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("place")).unionByName(pairs.select(F.col("v").alias("place"))).distinct()
-    own = cut(sets.join(wanted, "place", "left_semi"))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = stored(reps.join(wanted, "node", "left_semi").mapInArrow(sets, "place long, x array<long>"), "shingle-sets")
     both = pairs.join(own.select(F.col("place").alias("u"), F.col("x").alias("su")), "u").join(own.select(F.col("place").alias("v"), F.col("x").alias("sv")), "v")
-    return cut(both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long").distinct())
+    found = cut(both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long").distinct())
+    discard(own)
+    return found
+
+
+def _covered_pairs(classes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints the covering tables link: of one fingerprint the least node stands for all."""
+    heads = cut(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    links = covering_links(heads.select(F.lit(0).alias("g"), "fp"), radius)
+    far = links.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+    near = classes.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    return near.unionByName(far.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
-def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that connect any two of sets (place, x) that reach the similarity.
+def alike_links(reps: DataFrame, classes: DataFrame, common, words: int, similarity: float, radius: int) -> DataFrame:
+    """Links (u, v) that connect any two nodes whose sets reach the similarity.
 
-    Pairs that share a token of their prefixes and pass the filters of lines.py include all that are similar. Each set is
-    first verified against the first and the previous of its tokens' postings. A pair left out there is verified
-    unless what was verified connects its ends already.
+    First candidates are what SimHash's covering tables link, and a few earlier sets of each set's postings: both are linear. All
+    pairs that share a shingle of their prefixes and pass the filters include all that are similar (see lines.py); of
+    these, what is left is verified unless what was verified connects its ends already.
     """
-    prefixes, tables = lines.ordered_prefixes(sets, similarity, F.col("x"))
-    shared = stored(lines.shared_tokens(prefixes, similarity), "shingle-postings")
-    for t in tables:
-        discard(t)
-    release(sets)
-    first = cut(shared.select(F.explode(F.array("a", "b")).alias("u"), F.col("place").alias("v")).where("u IS NOT NULL").distinct())
-    release(sets)
-    links = _alike(first, sets, similarity)
+    shared = stored(lines.postings(_prefixes(reps, words, similarity, common), similarity, 1), "shingle-postings")
+    seen = shared.where(F.size("found") > 0).groupBy("place").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, FIRST).alias("x"))  # of one document
+    first = seen.select(F.explode("x.p1").alias("u"), F.col("place").alias("v")).unionByName(_covered_pairs(classes, radius))
+    links = _alike(cut(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), reps, words, similarity)
     named = connected_components(links).select(F.col("node").alias("place"), "component")
-    # Left are pairs of a posting that are neither next to each other nor with its first, and of two components.
-    long = cut(shared.where("c > 3 AND r > 1").select("tok", "place", "n", "i", "bits", "r").join(named, "place", "left").withColumn("component", F.coalesce("component", "place")))
+    open_ = shared.select("tok", "place", "n", "i", "bits").join(named, "place", "left").withColumn("component", F.coalesce("component", "place"))
+    open_ = stored(open_, "shingle-open")
     discard(shared)
-    release(sets)
-    mixed = long.groupBy("tok").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("tok")
-    open_ = long.join(mixed, "tok", "left_semi")
     a, b = open_.alias("a"), open_.alias("b")
     fit = lines.fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), similarity)
-    rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.r") < F.col("b.r") - 1) & (F.col("a.component") != F.col("b.component")) & fit)
-    rest = cut(rest.select(F.col("a.place").alias("u"), F.col("b.place").alias("v")).where("u <> v").distinct())
-    release(sets)
-    return links.unionByName(_alike(rest, sets, similarity))
+    rest = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & (F.col("a.component") != F.col("b.component")) & fit)
+    rest = cut(rest.select(F.col("a.place").alias("u"), F.col("b.place").alias("v")).distinct())
+    discard(open_)
+    return links.unionByName(_alike(rest, reps, words, similarity))
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group), one row per row of documents that has a doc_id.
 
     Groups are the components of all pairs whose sets of shingles reach the similarity. Texts of the same words (letter
-    case aside) are one class and one node. Rows of one doc_id are placed together.
+    case aside) are one class and one node; texts without words are one class. Rows of one doc_id are placed together.
     """
     documents = documents.where("doc_id IS NOT NULL")
-    prints = cut(_prints(documents))
-    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("id")))
-    docs = texts(documents).select(F.col("doc_id").alias("id"), "text").join(classes.select("id").distinct(), "id", "left_semi")
-    sets = stored(_shingle_sets(docs, words), "shingle-sets")  # a node more than once, if an id has several texts: no harm
+    once = cut(_read_once(documents, words))
+    common = _commonness(once.where("part IS NOT NULL").select("part", "counts"))
+    prints = once.where("part IS NULL").select("doc_id", "node", "fp")
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")))
+    reps = stored(_of_nodes(documents, classes), "near-texts")
     one_id = prints.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("doc_id", "u")
     together = prints.join(one_id, "doc_id").select("u", F.col("node").alias("v"))
-    named = connected_components(alike_links(sets, similarity).unionByName(together))
-    discard(sets)
+    named = connected_components(alike_links(reps, classes, common, words, similarity, radius).unionByName(together))
+    discard(reps)
     members = classes.join(named, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = members.groupBy("component").agg(F.min("id").alias("component_id"))
     return prints.join(members.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
+def _of_nodes(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and text of the row that stands for each class."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            nodes = [_node(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), b.column(0), b.column(1)], ["node", "id", "text"])
+
+    docs = texts(documents).select(F.col("doc_id").alias("id"), "text").join(classes.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    return docs.mapInArrow(run, "node long, id long, text string").drop("id")  # a node more than once, if an id has several texts: no harm
+
+
 def keep_first(documents: DataFrame, **options) -> DataFrame:
     """The rows of documents, all their columns, but for those of a group whose least doc_id is another. Rows without doc_id stay."""
     gone = near_duplicates(documents, **options).groupBy("doc_id").agg(F.min(F.col("component_id")).alias("c")).where("c <> doc_id").select(F.col("doc_id").alias("__gone"))
