@@ -32,6 +32,8 @@ from plumbline.llm.common import SPACE_RUN, cut, discard, let, stored, texts
 _SPACES = " \t\n\x0b\x0c\r"
 #: Words are counted in 2 to this power buckets; their order, 4 bytes a bucket, is sent to every task.
 BUCKET_BITS = 18
+#: Rows of the table of lines that are matched already up to which it is broadcast.
+BROADCAST_ROWS = 500_000
 #: Lines before a line in a posting that are candidates of the first, linear pass.
 NEAR = 2
 
@@ -116,25 +118,34 @@ def fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column,
 
 
 def postings(rows: DataFrame, t: float, near: int = NEAR) -> DataFrame:
-    """Rows of tokens that several sets share: r counts them by place; found: the earlier ones among the `near` before it and the first that pass the filters, as (bits that differ, place)."""
+    """Rows of tokens that several sets share; found: the earlier ones among the `near` before it and the first that pass the filters, as (bits that differ, place)."""
     order = W.partitionBy("tok").orderBy("place")
     me = F.struct("place", "n", "i", "bits")
     seen = [F.lag(me, k).over(order) for k in range(1, near + 1)] + [F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0))]
-    every = rows.select("tok", "place", "n", "i", "bits", F.row_number().over(order).alias("r"), F.lead("place").over(order).alias("next"), *[x.alias(f"x{k}") for k, x in enumerate(seen)])
+    every = rows.select("tok", "place", "n", "i", "bits", F.lag("place").over(order).alias("last"), F.lead("place").over(order).alias("next"), *[x.alias(f"x{k}") for k, x in enumerate(seen)])
 
     def candidate(x: str) -> Column:
         fit = (F.col(f"{x}.place") < F.col("place")) & fits(F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{x}.bits"), F.col("n"), F.col("i"), F.col("bits"), t)
         return F.when(fit, F.struct(F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col("bits"))).alias("d"), F.col(f"{x}.place").alias("p1")))
 
     found = F.array_compact(F.array(*[candidate(f"x{k}") for k in range(near + 1)]))
-    return every.where("r > 1 OR next IS NOT NULL").select("tok", "place", "n", "i", "bits", "r", found.alias("found"))  # most tokens are in one set
+    return every.where("last IS NOT NULL OR next IS NOT NULL").select("tok", "place", "n", "i", "bits", found.alias("found"))  # most tokens are in one set
 
 
-def left_pairs(open_: DataFrame, every: DataFrame, t: float) -> DataFrame:
-    """All (p1, p2) of a token in both that pass the filters, p1 before p2; p2 of open_, p1 of every."""
-    a, b = every.alias("a"), open_.alias("b")
-    fit = fits(F.col("a.n"), F.col("a.i"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
-    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.place") < F.col("b.place")) & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
+def left_pairs(rows: DataFrame, done: DataFrame, t: float) -> DataFrame:
+    """All (p1, p2) of a token that pass the filters, p1 before p2, for the p2 that are not done (place).
+
+    Both sides are the same rows, so they are shuffled once: that p2 is open is asked beside what p1 must be.
+    """
+    few = done.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = done.select("place", F.lit(True).alias("done"))
+    # The place in the prefix is below zero for what is done, so that both sides read the same columns.
+    marked = rows.join(F.broadcast(known) if few else known, "place", "left").select("tok", "place", "n", F.when(F.col("done"), -1 - F.col("i")).otherwise(F.col("i")).alias("i"), "bits")
+    a, b = marked.alias("a"), marked.alias("b")
+    at = lambda x: F.when(F.col(f"{x}.i") < 0, -1 - F.col(f"{x}.i")).otherwise(F.col(f"{x}.i"))
+    fit = fits(F.col("a.n"), at("a"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
+    open_ = F.when(F.col("b.i") >= 0, F.col("a.place") < F.col("b.place")).otherwise(False)
+    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & open_ & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
@@ -153,8 +164,7 @@ def repeated_places(classes: DataFrame, ranks: DataFrame, similarity: float = 0.
     shared = stored(postings(rows, t), "line-postings")
     nearest = shared.where(F.size("found") > 0).groupBy(F.col("place").alias("p2")).agg(F.min(F.array_min("found")).alias("x"))
     settled = _verified(cut(nearest.select("x.p1", "p2")), classes, ranks, t)
-    every = shared.select("tok", "place", "n", "i", "bits")
-    left = cut(left_pairs(shared.where("r > 1").select("tok", "place", "n", "i", "bits").join(settled, "place", "left_anti"), every, t))
+    left = cut(left_pairs(shared.select("tok", "place", "n", "i", "bits"), settled, t))
     discard(shared)
     return cut(settled.unionByName(_verified(left, classes, ranks, t)))
 
