@@ -5,7 +5,7 @@ run-length encodes the integers of each stripe, keeps an index of every `stride`
 doc_id, so readers take stripes in parallel and skip those whose statistics or filter rule a document out.
 
 Null text is the empty document (the end id alone); null doc_ids come first; rows of the same doc_id are
-documents of their own, ordered by their ids' CRC; an empty table gives files without rows; other columns
+documents of their own, one after another in an order of their texts' hashes; an empty table gives files without rows; other columns
 are not read.
 """
 
@@ -54,7 +54,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents in the files under path.
 
-    start adds the totals of all earlier files to a sum within the own file, so no task sees more than a file.
+    start follows the order of the files and of the rows in them. It adds the totals of all earlier files to a sum within the
+    own file, so no task sees more than a file.
     """
 
     def run(batches):
@@ -65,14 +66,15 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             ids = b.column(1)
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "block", "row", "n_tokens", "ids_crc32"])
 
-    rows = read_token_files(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file")).mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
-    rows = cut(rows)  # read twice below, from the files once
+    # A file may be read in several blocks; within one of them rows are numbered as they come.
+    read = read_token_files(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(read.mapInArrow(run, "doc_id long, file string, block long, row long, n_tokens long, ids_crc32 long"))  # read twice below, from the files once
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("own"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls"))
     before = W.orderBy(F.col("nulls").desc(), "least").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("earlier"))  # one row per file
-    within = W.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("file").orderBy("block", "row").rowsBetween(W.unboundedPreceding, -1)
     return (
         rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(files, "file")
         .select("doc_id", (F.col("earlier") + F.col("within")).cast("long").alias("start"), "n_tokens", "ids_crc32")

@@ -21,6 +21,11 @@ import re
 CACHE_WORDS = 500_000
 #: Longer words are encoded each time.
 LONGEST_CACHED = 40
+#: Words of Latin letters up to U+024F; a dotted capital I becomes two characters and is left out.
+_LATIN = "^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+$"
+_latin = re.compile(_LATIN)
+#: Texts on which rebuilt tables are compared with the library when a file is loaded: contractions, digits, marks, scripts, runs of white space.
+PROBES = ("", " ", "It's  a\ttest, isn't\nit?\n\n  Yes: 1234.50 (x_y)!", "Straße naïve œuvre ñandú Ωμέγα привет 你好 🙂🙂 e\u0301 \u00a0\u2003x", "a" * 300, "the The THE 's 'S we'll I'd", "\x00\x1f\x7f\ufffd")
 #: The pattern that parts texts before byte-level merges (a fixed value of such vocabularies).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -55,10 +60,14 @@ class ByteLevel:
         self.fast = tiktoken.Encoding("from-file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.library = _library(path)
+        #: Whether the tables give what the library gives; if they don't, every text goes through the library.
+        self.same = all(self.fast.encode_ordinary(t) == self.library.encode(t, add_special_tokens=False).ids for t in PROBES)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
+        if not self.same:
+            return _packed(self.library.encode_batch(texts, add_special_tokens=False))
         out = []
         for t in texts:
             if self.special and self.special.search(t):
@@ -132,37 +141,27 @@ class Words:
         return [data[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _find(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of words of any kind."""
         old, found, letters, other = self.old, {}, {}, []
-        if "" in missing:
-            found[""] = b""
-            missing = missing - {""}
         for k in missing:
-            if (i := old.get(k)) is not None:
+            if not k:
+                found[k] = b""
+            elif (i := old.get(k)) is not None:
                 found[k] = i
-                continue
-            stem, mark = (k[:-1], k[-1]) if k[-1] in ".," else (k, "")
-            low = stem.lower()  # of one dotted capital I it is no letters alone
-            if low.isalpha() and stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
-                letters[k] = (low, mark)
             else:
-                other.append(k)
-        stems = [w for w in {w for w, _ in letters.values()} if w not in found]
-        young, known = self.young, {}
-        new = []
-        for w in stems:
-            i = young.get(w) or old.get(w)
-            if i is None:
-                new.append(w)
-            else:
-                known[w] = i
-        known.update(zip(new, self._letters(new), strict=True))
+                stem, mark = (k[:-1], k[-1]) if k[-1] in ".," else (k, "")
+                if _latin.match(stem):
+                    letters[k] = (stem.lower(), mark)
+                else:
+                    other.append(k)
+        stems = list({w for w, _ in letters.values()})
+        known = dict(zip(stems, self._stems(stems), strict=True)) if stems else {}
         for k, (w, mark) in letters.items():
-            i = found[w] if w in found else known[w]
-            found[k] = i + self.marks[mark] if mark else i
+            found[k] = known[w] + self.marks[mark] if mark else known[w]
         plain = [k for k in other if self.separator not in k]
-        rest = [k for k in other if self.separator in k]
+        odd = [k for k in other if self.separator in k]
         found.update(zip(plain, self._joined(plain), strict=True))
-        found.update(zip(rest, self._whole(rest), strict=True))
+        found.update(zip(odd, self._whole(odd), strict=True))
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -181,12 +180,30 @@ class Words:
         return [next(odd) if p is None else b"".join(p) for p in parts]
 
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """The ids of distinct lower-case words of Latin letters, from the cache or else encoded together."""
+        ids = list(map(self.young.get, stems))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            known = list(map(self.old.get, [stems[i] for i in gaps]))
+            fresh = [i for i, x in zip(gaps, known, strict=True) if x is None]
+            for i, x in zip(gaps, known, strict=True):
+                ids[i] = x
+            for i, x in zip(fresh, self._letters([stems[i] for i in fresh]), strict=True):
+                ids[i] = x
+            self.young.update((stems[i], ids[i]) for i in gaps if len(stems[i]) <= LONGEST_CACHED)
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+        return ids
+
     def ragged(self, texts, end_id: int):
         """The same for an Arrow array of texts, each followed by end_id: offsets and all ids.
 
-        Arrow parts the texts and numbers their distinct words; only those are looked up one by one.
+        Arrow parts the texts, numbers their distinct words, and gathers ids by number; a word of letters is its stem and perhaps a mark,
+        and only distinct stems and other words are looked up one by one.
         """
         import numpy as np
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         end = int(end_id).to_bytes(4, "little")
@@ -196,23 +213,34 @@ class Words:
         lists = pc.ascii_split_whitespace(texts)
         at = lists.offsets.to_numpy().astype(np.int64)
         numbered = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
-        at, words = at - at[0], numbered.dictionary.to_pylist()
-        ids = list(map(self.young.get, words))
-        missing = {w for w, i in zip(words, ids, strict=True) if i is None}
-        if missing:
-            found = self._find(missing)
-            ids = [found[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            self.young.update((k, i) for k, i in found.items() if len(k) <= LONGEST_CACHED)
-            if len(self.young) > CACHE_WORDS:
-                self.old, self.young = self.young, {}
-        ids.append(end)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        at, words = at - at[0], numbered.dictionary
+        dot, comma = (pc.ends_with(words, m).to_numpy(zero_copy_only=False) for m in ".,")
+        marked = dot | comma
+        bare = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.match_substring_regex(bare, _LATIN).to_numpy(zero_copy_only=False)
+        stems = pc.utf8_lower(bare.filter(pa.array(plain))).dictionary_encode()
+        rest = words.filter(pa.array(~plain)).to_pylist()
+        found = self._find(set(rest)) if rest else {}
+        units = [*self._stems(stems.dictionary.to_pylist()), *(found[w] for w in rest), self.marks["."], self.marks[","], end]
+        n_stems, n = len(stems.dictionary), len(units)
+        # A word's units: its stem or itself, and its mark; one more word stands for the end of a text.
+        first = np.empty(len(words) + 1, np.int32)
+        first[:-1][plain] = stems.indices.to_numpy()
+        first[:-1][~plain] = n_stems + np.arange(len(rest))
+        first[-1] = n - 1
+        two = np.append(plain & marked, False)
+        place = np.concatenate(([0], np.cumsum(1 + two))).astype(np.int32)
+        parts = np.empty(place[-1], np.int32)
+        parts[place[:-1]] = first
+        parts[place[:-1][two] + 1] = np.where(dot[two[:-1]], n - 3, n - 2)
+        size = np.fromiter(map(len, units), np.int64, n) // 4
+        pool = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(units), "<u4")))
+        own = pool.take(pa.array(parts))  # the ids of each unit of each distinct word
+        by_word = pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy()[place]), own.values)
         codes = np.insert(numbered.indices.to_numpy(), at[1:], len(words))
-        n = size[codes]
-        after = np.cumsum(n)
-        flat = pool[np.repeat(start[codes] - (after - n), n) + np.arange(after[-1] if len(after) else 0)]
-        return np.concatenate(([0], after))[np.concatenate(([0], at[1:] + np.arange(1, len(at))))], flat
+        flat = by_word.take(pa.array(codes))
+        ends = flat.offsets.to_numpy()[np.concatenate(([0], at[1:] + np.arange(1, len(at))))].astype(np.int64)
+        return ends, flat.values.to_numpy()
 
 
 @functools.lru_cache(maxsize=4)
