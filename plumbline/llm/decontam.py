@@ -8,10 +8,12 @@ in sight, are fingerprinted. Their SimHashes meet the items' in a multi-index: R
 at least one is equal for every pair within the radius. What is within it is verified exactly.
 
 Shared shingles are found by their longest word: documents are parted into words, words meet the table of these
-words by a broadcast join (if it has at most BROADCAST_ROWS rows; else by a shuffle), and the shingle is compared.
+words (broadcast if it has at most BROADCAST_ROWS rows; else by a shuffle), and what they point at is compared in the text of
+those documents alone. Words travel without their text, so a long text costs no more than its length.
 
 Words are lower-cased and parted by white space. Null texts count as empty and match nothing; an item of
-fewer than five words is one shingle. Repeated items and documents give one row per (doc_id, item_id). Empty
+fewer than five words is one shingle. Repeated items and documents give one row per (doc_id, item_id); rows of one doc_id, and
+of none, are judged each by its own text, and clean() removes just those that hold an item. Null item_ids are items like others. Empty
 tables give an empty result; other columns are not read.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, let, texts
+from plumbline.llm.common import SPACE_RUN, cut, let, texts
 
 #: Hamming radius of the fingerprints. At similarity 0.8 distances are about 10 of 64 bits, with a deviation of 3.
 RADIUS = 20
@@ -61,51 +63,65 @@ def _blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << (e - s)) - 1)).alias("bits")) for i, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
 
 
-def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start, n_words, hamming, similarity: the best window of each document and item that reach the similarity."""
+def _keyed(documents: DataFrame) -> DataFrame:
+    """d and h, which stand for a row, its doc_id and words."""
+    return texts(documents).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", words_of(F.col("text")).alias("words"))
+
+
+def _bound(df: DataFrame) -> DataFrame:
+    """df to be broadcast, if its own rows are few enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _matches(documents: DataFrame, items: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """d, h, doc_id, item_id, start, n, hamming, similarity of every window found."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce("text", F.lit(""))).alias("w")).where("w[0] <> ''")
     own = own.withColumn("item_sh", shingles(F.col("w"), shingle)).withColumn("n", F.size("w")).withColumn("m", F.size("item_sh"))
-    own = own.withColumn("item_fp", simhash(F.transform("item_sh", lambda s: F.xxhash64(s)))).withColumn("k", F.least("n", F.lit(shingle)))
+    own = cut(own.withColumn("item_fp", simhash(F.transform("item_sh", lambda s: F.xxhash64(s)))).withColumn("k", F.least("n", F.lit(shingle))))
     # The longest word of each shingle, where it stands in it, and the shingle.
     parts = own.select("k", "n", "m", "item_id", F.explode(F.array_distinct("item_sh")).alias("shingle")).withColumn("sw", F.split("shingle", " "))
     parts = parts.withColumn("longest", F.array_max(F.transform("sw", lambda x, i: F.struct(F.length(x).alias("l"), (-i).alias("o"), x.alias("x")))))
-    anchors = parts.select(F.col("longest.x").alias("word"), (-F.col("longest.o")).alias("o"), "k", "n", "m", "item_id", "shingle").distinct()
+    anchors = cut(parts.select(F.col("longest.x").alias("word"), (-F.col("longest.o")).alias("o"), "k", "n", "m", "item_id", "shingle").distinct())
+    docs = _keyed(documents)
     # Equal shingles of many items are compared once and find their items afterwards.
-    distinct = anchors.select("word", "o", "k", "shingle").distinct()
-    small = distinct.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    bound = F.broadcast if small else (lambda df: df)
-    found = texts(documents).select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.posexplode_outer("words").alias("at", "word"))  # outer: no filter is inferred that would part the text twice
-    found = found.join(bound(distinct), "word").where((F.col("at") >= F.col("o")) & (F.array_join(F.slice("words", F.col("at") - F.col("o") + 1, F.col("k")), " ") == F.col("shingle")))
-    targets = anchors.select("shingle", "item_id", "n", "m")
-    hits = found.select("doc_id", "words", (F.col("at") - F.col("o")).alias("at"), "shingle").join(bound(targets), "shingle")
-    # Words of the windows that begin, or end, with this shingle.
-    size = F.least("n", F.size("words"))
-    last = F.greatest(F.lit(0), F.col("at") - F.col("m") + 1)
-    hits = hits.select(
-        "doc_id", "item_id", "n", "m", "at", F.size("words").alias("len"), F.when(F.col("at") + F.col("n") <= F.size("words"), F.slice("words", F.col("at") + 1, size)).alias("from_here"),
-        F.slice("words", last + 1, size).alias("to_here"), last.alias("last"),
-    ).distinct()
+    words = docs.select("d", "h", F.posexplode_outer("words").alias("at", "word"))  # outer: no filter is inferred that would part the text twice
+    points = words.join(_bound(anchors.select("word", "o", "k", "shingle").distinct()), "word").where("at >= o")
+    pointed = points.groupBy("d", "h").agg(F.collect_set(F.struct((F.col("at") - F.col("o")).alias("at"), "k", "shingle")).alias("points"))  # of one document
+    same = F.transform(F.array("words"), lambda ws: F.filter("points", lambda p: F.array_join(F.slice(ws, p["at"] + 1, p["k"]), " ") == p["shingle"]))
+    shared = cut(docs.join(pointed, ["d", "h"]).select("d", "h", "doc_id", F.size("words").alias("len"), F.explode(F.get(same, F.lit(0))).alias("p")).select("d", "h", "doc_id", "len", "p.at", "p.shingle").distinct())
+    hits = shared.join(_bound(anchors.select("shingle", "item_id", "n", "m").distinct()), "shingle").drop("shingle").distinct()
     # Shared shingles in sight of a window; enough of them are a condition for the similarity.
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.least("m", F.greatest(F.lit(1), F.col("len") - F.lit(shingle) + 1))) - F.lit(1e-9))
-    near = W.partitionBy("doc_id", "item_id").orderBy(F.col("at") / F.col("m"))  # an item's length is 1
+    near = W.partitionBy("d", "h", "item_id").orderBy(F.col("at") / F.col("m"))  # an item's length is 1
     ahead, behind = F.count("*").over(near.rangeBetween(0, 1)), F.count("*").over(near.rangeBetween(-1, 0))
     hits = hits.withColumn("ahead", ahead).withColumn("behind", behind).withColumn("need", need)
-    windows = hits.select("doc_id", "n", F.explode(F.array(
-        F.struct((F.col("ahead") >= F.col("need")).alias("enough"), F.col("at").alias("start"), F.col("from_here").alias("win")),
-        F.struct((F.col("behind") >= F.col("need")).alias("enough"), F.col("last").alias("start"), F.col("to_here").alias("win")),
-    )).alias("x")).where("x.enough AND x.win IS NOT NULL").select("doc_id", "n", "x.start", "x.win").distinct()
-    windows = windows.withColumn("sh", shingles(F.col("win"), shingle)).withColumn("fp", simhash(F.transform("sh", lambda s: F.xxhash64(s))))
-    keyed = windows.select("doc_id", "n", "start", "sh", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("doc_id", "n", "start", "sh", "fp", "b.block", "b.bits")
+    size, last = F.least("n", "len"), F.greatest(F.lit(0), F.col("at") - F.col("m") + 1)
+    starts = hits.select("d", "h", "n", F.explode(F.array(
+        F.struct(((F.col("ahead") >= F.col("need")) & (F.col("at") + F.col("n") <= F.col("len"))).alias("enough"), F.col("at").alias("start"), size.alias("size")),
+        F.struct((F.col("behind") >= F.col("need")).alias("enough"), last.alias("start"), size.alias("size")),
+    )).alias("x")).where("x.enough").select("d", "h", "n", "x.start", "x.size").distinct()
+    wanted = starts.groupBy("d", "h").agg(F.collect_list(F.struct("n", "start", "size")).alias("at"))  # of one document
+    cuts = F.transform(F.array("words"), lambda ws: F.transform("at", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(ws, x["start"] + 1, x["size"]).alias("win"))))
+    windows = docs.join(wanted, ["d", "h"]).select("d", "h", "doc_id", F.explode(F.get(cuts, F.lit(0))).alias("x")).select("d", "h", "doc_id", "x.*").distinct()
+    windows = windows.withColumn("sh", shingles(F.col("win"), shingle)).drop("win").withColumn("fp", simhash(F.transform("sh", lambda s: F.xxhash64(s))))
+    keyed = windows.select("d", "h", "doc_id", "n", "start", "sh", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("d", "h", "doc_id", "n", "start", "sh", "fp", "b.block", "b.bits")
     index = own.select("item_id", "n", "item_sh", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("b")).select("item_id", "n", "item_sh", "item_fp", "b.block", "b.bits").distinct()
-    pairs = keyed.join(bound(index), ["n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
+    pairs = keyed.join(_bound(index), ["n", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
     # A pair may meet in several blocks: it is verified in the first of them.
     first = F.array_min(F.transform(F.filter(F.arrays_zip(_blocks(F.col("fp"), radius).alias("a"), _blocks(F.col("item_fp"), radius).alias("c")), lambda z: z["a"] == z["c"]), lambda z: z["a"]["block"]))
     pairs = pairs.where(F.col("block") == first).withColumn("similarity", weighted_jaccard(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= similarity)
+    return pairs.select("d", "h", "doc_id", "item_id", "start", "n", "hamming", "similarity")
+
+
+def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, start, n_words, hamming, similarity: the best window of each document and item that reach the similarity."""
+    pairs = _matches(documents, items, shingle, similarity, radius)
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("minus"), "n", (-F.col("hamming")).alias("h"))).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.minus")).cast("long").alias("start"), F.col("x.n").cast("long").alias("n_words"), (-F.col("x.h")).cast("int").alias("hamming"), F.col("x.similarity").alias("similarity"))
 
 
-def clean(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+def clean(documents: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of documents, all their columns, that hold no benchmark item."""
-    bad = contaminated(documents, items, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, documents["doc_id"].cast("long") == F.col("__bad"), "left_anti")
+    bad = cut(_matches(documents, items, shingle, similarity, radius).select(F.col("d").alias("__d"), F.col("h").alias("__h")).distinct())
+    d, h = F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    return documents.join(bad, (d == F.col("__d")) & (h == F.col("__h")), "left_anti")
