@@ -12,8 +12,9 @@ later copies aren't stored; equal queries are searched once. Buckets are cut int
 BLOCK vectors and BLOCK queries, each block a task of its own, so no bucket is too large for one.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Ties go to the smaller id; repeated rows of an id count once. Fewer candidates than k give fewer rows; an
-empty table gives none. Other columns are not read.
+Ties go to the smaller id; of an id with several vectors the least in their order stands for it. A query whose buckets held
+fewer than k others is scored against all vectors, in blocks, so that only where there are fewer candidates are there fewer
+rows; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def axes(x, signs):
 def _vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     good = table.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).drop_duplicates(["id"])
+    return good.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def search(table: DataFrame, queries, k: int = 20, tables: int = 10, probes: int = 9, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -173,7 +174,32 @@ def search(table: DataFrame, queries, k: int = 20, tables: int = 10, probes: int
     cells = stored.mapInArrow(dealt(False), schema).unionByName(asked.mapInArrow(dealt(True), schema))
     found = cells.groupBy("cell").applyInPandas(score, "query long, id long, score double").distinct()
     nearest = W.partitionBy("query").orderBy(F.desc("score"), "id")
-    best = found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1).drop("place")
+    top = lambda df: df.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1).drop("place")
+    best = cut(top(found))
+    n_stored = stored.count()
+    counts = best.groupBy("query").agg(F.count("*").alias("n"))
+    short = cut(asked.join(counts, F.col("id") == F.col("query"), "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, n_stored)).select("id", "v"))
+    if short.limit(1).count():
+        n_blocks = -(-n_stored // BLOCK)
+
+        def plain(query):
+            def run(batches):
+                import pyarrow as pa
+
+                for b in batches:
+                    own = [np.array(x).tobytes() for x in b.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, query)), b.column(1), pa.array(own, pa.binary())], ["cell", "asked", "id", "v"])
+
+            return run
+
+        # A block of all vectors meets a block of these queries.
+        part = (F.pmod(F.xxhash64("id"), F.lit(n_blocks))).cast("long")
+        groups = -(-short.count() // BLOCK)
+        turn = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long")
+        every = stored.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), part.alias("p"), "id", "v").select((F.col("g") * n_blocks + F.col("p")).alias("cell"), "id", "v")
+        those = short.select(turn.alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("p"), "id", "v").select((F.col("g") * n_blocks + F.col("p")).alias("cell"), "id", "v")
+        whole = every.mapInArrow(plain(False), schema).unionByName(those.mapInArrow(plain(True), schema)).groupBy("cell").applyInPandas(score, "query long, id long, score double")
+        best = top(whole.unionByName(best).distinct())
     members = rows.where(queries).select("key", F.col("id").alias("query_id"))
     heads = members.groupBy("key").agg(F.min("query_id").alias("query"))
     each = members.join(heads, "key").join(best, "query").where("id <> query_id")
