@@ -33,11 +33,17 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 MIN_SEEDS, MIN_SCORE, ROUNDS = 5, 0.8, 3
 
 
+def _tail(gap: Column) -> Column:
+    """An end of the text that holds its last two words: 64 characters where they do, else all of it."""
+    end = F.right(gap, F.lit(64))
+    return F.when(F.size(F.split(F.trim(end, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+", 4)) >= 3, end).otherwise(gap)
+
+
 def _matches(text: Column, order: int, pattern: str, may: Column) -> Column:
     """Of each match: kind, number, the match, the length of the text since the last one, and that text's end."""
     found = F.transform(
         F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap")),
-        lambda z, i: F.struct(F.lit(order).alias("kind"), i.alias("i"), z["m"].alias("m"), F.length(z["gap"]).alias("skip"), F.right(z["gap"], F.lit(64)).alias("before")),
+        lambda z, i: F.struct(F.lit(order).alias("kind"), i.alias("i"), z["m"].alias("m"), F.length(z["gap"]).alias("skip"), _tail(z["gap"]).alias("before")),
     )
     none = F.array().cast("array<struct<kind:int,i:int,m:string,skip:int,before:string>>")
     return F.when(may, found).otherwise(none)
