@@ -5,7 +5,8 @@ returned, and returns a DataFrame. All stages but the last return the columns of
 
 1. quality: documents that the pairwise classifier rejects go.
 2. lines: lines similar to an earlier line of the corpus (sets of words, Jaccard 0.8) go from the texts (n_chars follows).
-3. near_duplicates: of each group of near copies (five-word shingles, Jaccard 0.8) the least doc_id stays.
+3. near_duplicates: of each group of near copies (SimHash candidates and an exact join of five-word shingles, Jaccard 0.8)
+   the least doc_id stays.
 4. decontaminate: documents with a window similar to a benchmark item go.
 5. pack: what is left becomes pieces in sequences of 2048 tokens.
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import decontam, lines, packing, quality, simhash
 from plumbline.llm.common import read_table, scratch_path
 
-#: No SQL: SimHash candidates, a fitted classifier and a tokenizer's merges are beyond it. Tests hold the stages against brute force.
+#: No SQL: a fitted classifier and a tokenizer's merges are beyond it. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -31,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(docs, shingle=1)
+    out = lines.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
