@@ -178,7 +178,7 @@ def whole_number(text) -> Column:
 
 
 def season_label(year) -> Column:
-    return F.format_string("%d-%02d", c(year), (c(year) + 1) % 100)
+    return F.when(c(year).isNotNull(), F.format_string("%d-%02d", c(year), (c(year) + 1) % 100))
 
 
 def season_start(label) -> Column:

@@ -129,8 +129,8 @@ def career_primitives(long: DataFrame, entity: str, period: str, prefix: str) ->
     keyed = rows.withColumn("__key", key).withColumn("adjusted", E.opportunity_adjusted("pct", "ratio", 0.5))
     parts = g.withColumn("__key", key)
     for n in (3, 5):
-        parts = parts.join(S.best_window(keyed, "__key", period, "pct", n).select("__key", F.col("mean").alias(f"peak{n}_quality")), "__key", "left")
-    parts = parts.join(S.best_window(keyed, "__key", period, "adjusted", 3).select("__key", F.col("mean").alias("peak3_adjusted")), "__key", "left")
+        parts = parts.join(S.best_window(keyed, "__key", period, "pct", n, 6).select("__key", F.col("mean").alias(f"peak{n}_quality")), "__key", "left")
+    parts = parts.join(S.best_window(keyed, "__key", period, "adjusted", 3, 6).select("__key", F.col("mean").alias("peak3_adjusted")), "__key", "left")
     for n, t in shares.items():
         run = S.longest_run(keyed, "__key", period, F.col("pct") >= t).select("__key", F.col("length").cast("double").alias(f"run_{n}"))
         parts = parts.join(run, "__key", "left").withColumn(f"run_{n}", F.coalesce(f"run_{n}", F.lit(0.0)))  # a known career without such a period

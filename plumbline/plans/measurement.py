@@ -59,7 +59,7 @@ def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws around every season's percentile score, as 0 to 100."""
     q = P.with_midranks(qualified_season(spark, sf_dir), ["period"], "ppg", F.lit(True)).select("entity", "period", F.round(100 * P.midrank_share(), 6).alias("centre"))
     keyed = q.withColumn("key", F.concat_ws("-", "entity", "period")).withColumn("spread", F.lit(10.0))
-    return M.draws(keyed, "key", "centre", "spread", DRAWS).join(keyed.select("key", "entity", "period"), "key").select("entity", "period", "draw", "score")
+    return M.draws(keyed, "key", "centre", "spread", DRAWS).select("entity", "period", "draw", "score")
 
 
 _DRAWN = SEASON_SQL + f""", b AS (SELECT entity, period, round(100 * (rank() OVER (PARTITION BY period ORDER BY ppg) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY period, ppg)) / count(*) OVER (PARTITION BY period), 6) AS centre, concat_ws('-', entity, period) AS key FROM q),

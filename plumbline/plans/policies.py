@@ -106,7 +106,7 @@ _LONG = FACTS_SQL + """, g AS (SELECT entity, period, CASE WHEN game % 2 = 1 THE
   k AS (SELECT entity, period, part, metric, ratio, z, pct, 0.5::DOUBLE + (pct - 0.5::DOUBLE) * least(greatest(ratio, 0.0), 1.0) AS adj FROM lz WHERE z IS NOT NULL),
   wn AS (SELECT entity, part, metric, period, avg(pct) OVER w3 AS m3, lead(period, 2) OVER o AS e3, avg(pct) OVER w5 AS m5, lead(period, 4) OVER o AS e5, avg(adj) OVER w3 AS a3 FROM k
          WINDOW o AS (PARTITION BY entity, part, metric ORDER BY period), w3 AS (PARTITION BY entity, part, metric ORDER BY period ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), w5 AS (PARTITION BY entity, part, metric ORDER BY period ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-  wb AS (SELECT entity, part, metric, max(round(m3, 9)) FILTER (WHERE e3 = period + 2) AS peak3_quality, max(round(m5, 9)) FILTER (WHERE e5 = period + 4) AS peak5_quality, max(round(a3, 9)) FILTER (WHERE e3 = period + 2) AS peak3_adjusted FROM wn GROUP BY 1, 2, 3),
+  wb AS (SELECT entity, part, metric, max(round(m3, 6)) FILTER (WHERE e3 = period + 2) AS peak3_quality, max(round(m5, 6)) FILTER (WHERE e5 = period + 4) AS peak5_quality, max(round(a3, 6)) FILTER (WHERE e3 = period + 2) AS peak3_adjusted FROM wn GROUP BY 1, 2, 3),
   ag AS (SELECT entity, part, metric, max(pct) AS peak1_quality, max(z) AS max_z, avg(z) AS mean_z, sum(greatest(z, 0.0)) AS cum_positive_z, sum(greatest(z, 0.0) * ratio) AS weighted_positive_z, sum(greatest(pct - 0.8, 0.0)) AS area_p80, sum(greatest(pct - 0.9, 0.0)) AS area_p90,
          count(*) FILTER (WHERE pct >= 0.80)::DOUBLE AS elite_p80, count(*) FILTER (WHERE pct >= 0.90)::DOUBLE AS elite_p90, count(*) FILTER (WHERE pct >= 0.95)::DOUBLE AS elite_p95,
          CASE WHEN count(*) >= 3 THEN list_sum(list_slice(list_reverse_sort(list(z)), 1, 3)) / 3 END AS top3_z FROM k GROUP BY 1, 2, 3),
@@ -127,13 +127,13 @@ def _primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def career_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The primitive matrix in long form: entity, primitive, value."""
-    return _primitives(spark, sf_dir).select("entity", "primitive", F.round("value", 5).alias("value"))
+    return _primitives(spark, sf_dir).select("entity", "primitive", F.round("value", 9).alias("value"))
 
 
 def candidate_catalog_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of the catalogue for which an entity has a part, under the coverage threshold."""
     v = C.candidate_values(_primitives(spark, sf_dir), C.catalog(spark), "entity", L.POLICIES[2])
-    return v.select("entity", "dimension", "candidate", F.round("value", 5).alias("value"), F.round("coverage", 6).alias("coverage"), F.round("core_coverage", 6).alias("core_coverage"), "confidence", F.col("used").cast("bigint").alias("used"))
+    return v.select("entity", "dimension", "candidate", F.round("value", 9).alias("value"), F.round("coverage", 6).alias("coverage"), F.round("core_coverage", 6).alias("core_coverage"), "confidence", F.col("used").cast("bigint").alias("used"))
 
 
 _CATALOG = "ct AS (SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{k}', '{p}', {str(c).upper()})" for d, k, p, c in C.catalog_rows()) + ") t(dimension, candidate, primitive, core))"
@@ -166,10 +166,10 @@ SQL = {
     "era_groups": "WITH c AS (SELECT CASE WHEN c_custkey % 83 <> 82 THEN 1946 + c_custkey % 80 END AS y FROM customer) SELECT CASE WHEN y IS NULL THEN 'UNKNOWN' WHEN y < 1960 THEN 'PRE_1960' ELSE (y // 10 * 10) || 'S' END AS era, count(*) AS n, min(y) AS first, max(y) AS last FROM c GROUP BY 1",
     "feature_definitions": "WITH " + _TOTALS + " " + _feature_sql(),
     "candidate_lineage": "WITH " + _CATALOG + " SELECT a.dimension, a.candidate AS left, b.candidate AS right, string_agg(DISTINCT a.primitive, ',' ORDER BY a.primitive) AS shared FROM ct a JOIN ct b ON a.dimension = b.dimension AND a.primitive = b.primitive AND a.candidate < b.candidate GROUP BY 1, 2, 3",
-    "career_primitives": "WITH " + _LONG + " SELECT entity, primitive, round(value, 5) AS value FROM pr",
+    "career_primitives": "WITH " + _LONG + " SELECT entity, primitive, round(value, 9) AS value FROM pr",
     "candidate_catalog_values": "WITH " + _LONG + ", " + _CATALOG + """, sz AS (SELECT dimension, candidate, count(*) AS n, count(*) FILTER (WHERE core) AS nc FROM ct GROUP BY 1, 2),
       hv AS (SELECT entity, ct.dimension, ct.candidate, count(*) AS a, count(*) FILTER (WHERE core) AS ca, avg(value) AS v FROM pr JOIN ct ON pr.primitive = ct.primitive GROUP BY 1, 2, 3)
-      SELECT entity, hv.dimension, hv.candidate, CASE WHEN a::DOUBLE / n >= 2 / 3.0::DOUBLE THEN round(v, 5) END AS value, round(a::DOUBLE / n, 6) AS coverage, round(ca::DOUBLE / nc, 6) AS core_coverage, CASE WHEN a = n THEN 'STRONG' WHEN a::DOUBLE / n >= 0.75 THEN 'MODERATE' ELSE 'LIMITED' END AS confidence, CASE WHEN a::DOUBLE / n >= 2 / 3.0::DOUBLE THEN a ELSE 0 END AS used
+      SELECT entity, hv.dimension, hv.candidate, CASE WHEN a::DOUBLE / n >= 2 / 3.0::DOUBLE THEN round(v, 9) END AS value, round(a::DOUBLE / n, 6) AS coverage, round(ca::DOUBLE / nc, 6) AS core_coverage, CASE WHEN a = n THEN 'STRONG' WHEN a::DOUBLE / n >= 0.75 THEN 'MODERATE' ELSE 'LIMITED' END AS confidence, CASE WHEN a::DOUBLE / n >= 2 / 3.0::DOUBLE THEN a ELSE 0 END AS used
       FROM hv JOIN sz ON hv.dimension = sz.dimension AND hv.candidate = sz.candidate""",
 }
 QUERIES = {f.__name__: f for f in (evidence_policies, rank_labels, era_groups, feature_definitions, candidate_lineage, career_primitives, candidate_catalog_values)}

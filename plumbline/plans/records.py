@@ -96,7 +96,7 @@ def _results(o: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _participation(spark, sf_dir):
     rows, o = _team_rows(spark, sf_dir)
     results, winners = _results(o)
-    return T.participation(rows, results, winners, 9), results
+    return T.participation(rows, results, winners), results
 
 
 def player_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
