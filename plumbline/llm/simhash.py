@@ -10,8 +10,9 @@ Buckets of over HEAVY nodes are dealt again by a second set of masks over the sa
 every pair within the radius.
 
 Null texts count as empty. A text of fewer words than a shingle is one shingle; a text without words has
-fingerprint zero and links like any other. Repeated rows and equal texts share a fingerprint. An empty table
-gives an empty result; columns other than doc_id and text are not read.
+fingerprint zero and links like any other. Repeated rows, rows of one doc_id and equal texts are rows of their own that
+share a fingerprint or don't. Rows without doc_id link like others; a component of only such rows has no
+component_id. An empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
