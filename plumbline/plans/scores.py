@@ -25,13 +25,9 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = g.withColumn("accolades", F.when(F.col("entity") % 9 != 0, F.col("accolades")))
     for k in WEIGHTS:
         out = out.withColumn(k, F.round(k, 9))
-    w = W.partitionBy()
-    cols = []
-    for k in WEIGHTS:
-        n, below = F.count(k).over(w), F.rank().over(W.orderBy(F.col(k).asc_nulls_last())) - 1
-        equal = F.count(k).over(W.partitionBy(k))
-        cols.append(F.round(F.when(F.col(k).isNotNull(), 100.0 * (below + (equal - 1) / F.lit(2.0)) / F.greatest(n - 1, F.lit(1))), 6).alias(k))
-    return out.select("entity", *cols)  # one row per entity
+    long = out.unpivot(["entity"], list(WEIGHTS), "dimension", "value")
+    m = P.with_midranks(long, ["dimension"], "value", F.lit(True)).select("entity", "dimension", F.round(P.midrank_score(), 6).alias("score"))
+    return m.groupBy("entity").pivot("dimension", list(WEIGHTS)).agg(F.first("score"))
 
 
 _COMP = (
