@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("era", "aggregates", "joins", "careers", "scores", "calibration", "simulation", "models", "platform", "audits", "policies", "records", "measurement")
+MODULES = ("era", "aggregates", "joins", "careers", "scores", "calibration", "simulation", "models", "platform", "audits", "policies", "records", "measurement", "serving")
 
 
 def _modules():
