@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, cut, discard, let, stored, texts
+from plumbline.llm.common import SPACE_RUN, discard, let, stored, texts
 
 _SPACES = " \t\n\x0b\x0c\r"
 #: Words are counted in 2 to this power buckets; their order, 4 bytes a bucket, is sent to every task.
@@ -84,7 +84,7 @@ def rarity(documents: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("b")).agg(F.count("*").alias("c"))
     every = documents.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select(F.coalesce("c", F.lit(0)).alias("c"), "b")
     ranked = every.agg(F.sort_array(F.collect_list(F.struct("c", "b"))).alias("s")).select(F.posexplode("s").alias("rank", "x"))  # 2^bits rows, whatever the corpus
-    return cut(ranked.agg(F.sort_array(F.collect_list(F.struct(F.col("x.b").alias("b"), "rank"))).alias("s")).select(F.transform("s", lambda x: F.shiftleft(x["rank"].cast("long") - F.lit(1 << (bits - 1)), 64 - bits)).alias("t")))
+    return stored(ranked.agg(F.sort_array(F.collect_list(F.struct(F.col("x.b").alias("b"), "rank"))).alias("s")).select(F.transform("s", lambda x: F.shiftleft(x["rank"].cast("long") - F.lit(1 << (bits - 1)), 64 - bits)).alias("t")), "line-ranks")
 
 
 def tokens(classes: DataFrame, ranks: DataFrame, bits: int = BUCKET_BITS) -> DataFrame:
@@ -101,11 +101,13 @@ def _parity(x: Column) -> Column:
 
 
 def prefixes(sets: DataFrame, t: float) -> DataFrame:
-    """place, n, bits, i, tok: the prefix of each of the ordered sets (place, x)."""
+    """place, n, bits, i, tok, prev (the token before it): the prefix of each of the ordered sets (place, x)."""
     n = F.size("x")
     length = (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int")
     own = sets.select("place", n.alias("n"), _parity(F.col("x")).alias("bits"), F.slice("x", 1, length).alias("prefix"))  # beside the posexplode it would be computed for every token
-    return own.select("place", "n", "bits", F.posexplode_outer("prefix").alias("i", "tok"))  # outer: no filter is inferred that would make all of this twice
+    pairs = F.transform("prefix", lambda x, i: F.struct(x.alias("tok"), F.when(i > 0, F.get("prefix", i - 1)).alias("prev")))
+    rows = own.select("place", "n", "bits", F.posexplode_outer(pairs).alias("i", "x"))  # outer: no filter is inferred that would make all of this twice
+    return rows.select("place", "n", "bits", "i", "x.tok", "x.prev")
 
 
 def _need(n1: Column, n2: Column, t: float) -> Column:
@@ -117,56 +119,60 @@ def fits(n1: Column, i1: Column, b1: Column, n2: Column, i2: Column, b2: Column,
     return (F.least(n1, n2) >= F.lit(t) * F.greatest(n1, n2) - F.lit(1e-9)) & (F.least(n1 - i1, n2 - i2) >= _need(n1, n2, t)) & (F.bit_count(b1.bitwiseXOR(b2)) <= n1 + n2 - 2 * _need(n1, n2, t))
 
 
-def postings(rows: DataFrame, t: float, near: int = NEAR) -> DataFrame:
+def postings(rows: DataFrame, t: float, near: int = NEAR, also: tuple[str, ...] = ()) -> DataFrame:
     """Rows of tokens that several sets share; found: the earlier ones among the `near` before it and the first that pass the filters, as (bits that differ, place)."""
     order = W.partitionBy("tok").orderBy("place")
     me = F.struct("place", "n", "i", "bits")
     seen = [F.lag(me, k).over(order) for k in range(1, near + 1)] + [F.first(me).over(order.rowsBetween(W.unboundedPreceding, 0))]
-    every = rows.select("tok", "place", "n", "i", "bits", F.lag("place").over(order).alias("last"), F.lead("place").over(order).alias("next"), *[x.alias(f"x{k}") for k, x in enumerate(seen)])
+    every = rows.select("tok", "place", "n", "i", "bits", *also, F.lag("place").over(order).alias("last"), F.lead("place").over(order).alias("next"), *[x.alias(f"x{k}") for k, x in enumerate(seen)])
 
     def candidate(x: str) -> Column:
         fit = (F.col(f"{x}.place") < F.col("place")) & fits(F.col(f"{x}.n"), F.col(f"{x}.i"), F.col(f"{x}.bits"), F.col("n"), F.col("i"), F.col("bits"), t)
         return F.when(fit, F.struct(F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col("bits"))).alias("d"), F.col(f"{x}.place").alias("p1")))
 
     found = F.array_compact(F.array(*[candidate(f"x{k}") for k in range(near + 1)]))
-    return every.where("last IS NOT NULL OR next IS NOT NULL").select("tok", "place", "n", "i", "bits", found.alias("found"))  # most tokens are in one set
+    return every.where("last IS NOT NULL OR next IS NOT NULL").select("tok", "place", "n", "i", "bits", *also, found.alias("found"))  # most tokens are in one set
 
 
 def left_pairs(rows: DataFrame, done: DataFrame, t: float) -> DataFrame:
     """All (p1, p2) of a token that pass the filters, p1 before p2, for the p2 that are not done (place).
 
+    Where the tokens before it are equal too the pair has been met there, where the filters ask less, and isn't met again.
     Both sides are the same rows, so they are shuffled once: that p2 is open is asked beside what p1 must be.
     """
     few = done.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = done.select("place", F.lit(True).alias("done"))
     # The place in the prefix is below zero for what is done, so that both sides read the same columns.
-    marked = rows.join(F.broadcast(known) if few else known, "place", "left").select("tok", "place", "n", F.when(F.col("done"), -1 - F.col("i")).otherwise(F.col("i")).alias("i"), "bits")
+    marked = rows.join(F.broadcast(known) if few else known, "place", "left").select("tok", "place", "n", F.when(F.col("done"), -1 - F.col("i")).otherwise(F.col("i")).alias("i"), "bits", "prev")
     a, b = marked.alias("a"), marked.alias("b")
     at = lambda x: F.when(F.col(f"{x}.i") < 0, -1 - F.col(f"{x}.i")).otherwise(F.col(f"{x}.i"))
     fit = fits(F.col("a.n"), at("a"), F.col("a.bits"), F.col("b.n"), F.col("b.i"), F.col("b.bits"), t)
     open_ = F.when(F.col("b.i") >= 0, F.col("a.place") < F.col("b.place")).otherwise(False)
-    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & open_ & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
+    anew = F.coalesce(F.col("a.prev") != F.col("b.prev"), F.lit(True))
+    return a.join(b, (F.col("a.tok") == F.col("b.tok")) & open_ & anew & fit).select(F.col("a.place").alias("p1"), F.col("b.place").alias("p2")).distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, ranks: DataFrame, t: float) -> DataFrame:
     """The places p2 of pairs (p1, p2) that are similar enough. Only the candidates' lines are parted into tokens again."""
     wanted = pairs.select(F.explode(F.array("p1", "p2")).alias("place")).distinct()
-    own = cut(tokens(classes.join(wanted, "place", "left_semi"), ranks))
+    own = stored(tokens(classes.join(wanted, "place", "left_semi"), ranks), "line-tokens")
     both = pairs.join(own.select(F.col("place").alias("p1"), F.col("x").alias("x1")), "p1").join(own.select(F.col("place").alias("p2"), F.col("x").alias("x2")), "p2")
     both = both.select("p2", F.size("x1").alias("n1"), F.size("x2").alias("n2"), F.size(F.array_intersect("x1", "x2")).alias("o"))
-    return cut(both.where(F.col("o") >= F.lit(t) * (F.col("n1") + F.col("n2") - F.col("o")) - F.lit(1e-9)).select(F.col("p2").alias("place")).distinct())
+    found = stored(both.where(F.col("o") >= F.lit(t) * (F.col("n1") + F.col("n2") - F.col("o")) - F.lit(1e-9)).select(F.col("p2").alias("place")).distinct(), "line-matches")
+    discard(own)
+    return found
 
 
 def repeated_places(classes: DataFrame, ranks: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The places of classes (line, place) to which an earlier class is similar enough."""
     t = similarity
     rows = prefixes(tokens(classes, ranks), t)
-    shared = stored(postings(rows, t), "line-postings")
+    shared = stored(postings(rows, t, also=("prev",)), "line-postings")
     nearest = shared.where(F.size("found") > 0).groupBy(F.col("place").alias("p2")).agg(F.min(F.array_min("found")).alias("x"))
-    settled = _verified(cut(nearest.select("x.p1", "p2")), classes, ranks, t)
-    left = cut(left_pairs(shared.select("tok", "place", "n", "i", "bits"), settled, t))
+    settled = _verified(stored(nearest.select("x.p1", "p2"), "line-pairs"), classes, ranks, t)
+    left = stored(left_pairs(shared.drop("found"), settled, t), "line-pairs")
     discard(shared)
-    return cut(settled.unionByName(_verified(left, classes, ranks, t)))
+    return settled.unionByName(_verified(left, classes, ranks, t))
 
 
 def dedup_lines(documents: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -55,7 +55,7 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, bits, near):
     """Whatever the order of words and the first candidates are."""
     monkeypatch.setattr(lines.rarity, "__defaults__", (bits,))
     monkeypatch.setattr(lines.tokens, "__defaults__", (bits,))
-    monkeypatch.setattr(lines.postings, "__defaults__", (near,))
+    monkeypatch.setattr(lines.postings, "__defaults__", (near, ()))
     rows = line_rows()
     out = lines.dedup_lines(table(spark, rows).repartition(3))
     assert out.columns == ["doc_id", "text", "place", "line", "x", "__n_lines", "__n_removed"]
