@@ -36,6 +36,7 @@ def encoded(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataF
                 part = batch.slice(first, n)
                 ends, flat = enc.ragged(part.column(1), end_id)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["doc_id", "ids"])
+                pa.default_memory_pool().release_unused()
 
     return texts(documents).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -18,7 +18,7 @@ import json
 import re
 
 #: Words in each of a worker's two generations of cached words.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Longer words are encoded each time.
 LONGEST_CACHED = 40
 #: Words of Latin letters up to U+024F; a dotted capital I becomes two characters and is left out.
