@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_RUN, cut, let, texts
+from plumbline.llm.common import SPACE_RUN, cut, let, stored, texts
 
 #: Hamming radius of the fingerprints. At similarity 0.8 distances are about 10 of 64 bits, with a deviation of 3.
 RADIUS = 20
@@ -64,8 +64,8 @@ def _blocks(fp: Column, radius: int) -> Column:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """d and h, which stand for a row, its doc_id and words."""
-    return texts(documents).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", words_of(F.col("text")).alias("words"))
+    """d and h, which stand for a row, its doc_id and text."""
+    return texts(documents).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "doc_id", "text")
 
 
 def _bound(df: DataFrame) -> DataFrame:
@@ -84,11 +84,12 @@ def _matches(documents: DataFrame, items: DataFrame, shingle: int, similarity: f
     anchors = cut(parts.select(F.col("longest.x").alias("word"), (-F.col("longest.o")).alias("o"), "k", "n", "m", "item_id", "shingle").distinct())
     docs = _keyed(documents)
     # Equal shingles of many items are compared once and find their items afterwards.
-    words = docs.select("d", "h", F.posexplode_outer("words").alias("at", "word"))  # outer: no filter is inferred that would part the text twice
+    words = docs.select("d", "h", F.posexplode_outer(words_of(F.col("text"))).alias("at", "word"))  # outer: no filter is inferred that would part the text twice
     points = words.join(_bound(anchors.select("word", "o", "k", "shingle").distinct()), "word").where("at >= o")
     pointed = points.groupBy("d", "h").agg(F.collect_set(F.struct((F.col("at") - F.col("o")).alias("at"), "k", "shingle")).alias("points"))  # of one document
-    same = F.transform(F.array("words"), lambda ws: F.filter("points", lambda p: F.array_join(F.slice(ws, p["at"] + 1, p["k"]), " ") == p["shingle"]))
-    shared = cut(docs.join(pointed, ["d", "h"]).select("d", "h", "doc_id", F.size("words").alias("len"), F.explode(F.get(same, F.lit(0))).alias("p")).select("d", "h", "doc_id", "len", "p.at", "p.shingle").distinct())
+    same = lambda ws: F.transform(F.filter("points", lambda p: F.array_join(F.slice(ws, p["at"] + 1, p["k"]), " ") == p["shingle"]), lambda p: F.struct(F.size(ws).alias("len"), p["at"].alias("at"), p["shingle"].alias("shingle")))
+    found = docs.join(pointed.hint("shuffle_hash"), ["d", "h"]).select("d", "h", F.explode_outer(let(words_of(F.col("text")), same)).alias("p"))  # texts needn't be sorted
+    shared = stored(found.where("p IS NOT NULL").select("d", "h", "p.*").distinct(), "shared-shingles")
     hits = shared.join(_bound(anchors.select("shingle", "item_id", "n", "m").distinct()), "shingle").drop("shingle").distinct()
     # Shared shingles in sight of a window; enough of them are a condition for the similarity.
     need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("m") + F.least("m", F.greatest(F.lit(1), F.col("len") - F.lit(shingle) + 1))) - F.lit(1e-9))
@@ -101,8 +102,10 @@ def _matches(documents: DataFrame, items: DataFrame, shingle: int, similarity: f
         F.struct((F.col("behind") >= F.col("need")).alias("enough"), last.alias("start"), size.alias("size")),
     )).alias("x")).where("x.enough").select("d", "h", "n", "x.start", "x.size").distinct()
     wanted = starts.groupBy("d", "h").agg(F.collect_list(F.struct("n", "start", "size")).alias("at"))  # of one document
-    cuts = F.transform(F.array("words"), lambda ws: F.transform("at", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(ws, x["start"] + 1, x["size"]).alias("win"))))
-    windows = docs.join(wanted, ["d", "h"]).select("d", "h", "doc_id", F.explode(F.get(cuts, F.lit(0))).alias("x")).select("d", "h", "doc_id", "x.*").distinct()
+    cuts = lambda ws: F.transform("at", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(ws, x["start"] + 1, x["size"]).alias("win")))
+    wanted = stored(wanted, "window-starts")
+    wanted = F.broadcast(wanted) if (wanted.agg(F.sum(F.size("at"))).first()[0] or 0) <= BROADCAST_ROWS else wanted  # by windows, not rows
+    windows = docs.join(wanted, ["d", "h"]).select("d", "h", "doc_id", F.explode_outer(let(words_of(F.col("text")), cuts)).alias("x")).select("d", "h", "doc_id", "x.*").distinct()
     windows = windows.withColumn("sh", shingles(F.col("win"), shingle)).drop("win").withColumn("fp", simhash(F.transform("sh", lambda s: F.xxhash64(s))))
     keyed = windows.select("d", "h", "doc_id", "n", "start", "sh", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("d", "h", "doc_id", "n", "start", "sh", "fp", "b.block", "b.bits")
     index = own.select("item_id", "n", "item_sh", "item_fp", F.explode(_blocks(F.col("item_fp"), radius)).alias("b")).select("item_id", "n", "item_sh", "item_fp", "b.block", "b.bits").distinct()
@@ -122,6 +125,6 @@ def contaminated(documents: DataFrame, items: DataFrame, shingle: int = 5, simil
 
 def clean(documents: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """The rows of documents, all their columns, that hold no benchmark item."""
-    bad = cut(_matches(documents, items, shingle, similarity, radius).select(F.col("d").alias("__d"), F.col("h").alias("__h")).distinct())
+    bad = stored(_matches(documents, items, shingle, similarity, radius).select(F.col("d").alias("__d"), F.col("h").alias("__h")).distinct(), "leaks")
     d, h = F.coalesce(documents["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(documents["text"], F.lit("")))
     return documents.join(bad, (d == F.col("__d")) & (h == F.col("__h")), "left_anti")
