@@ -26,7 +26,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, discard, stored, texts
+from plumbline.llm.common import discard, stored, texts
 
 #: Words of the run that anchors a window (at most the window): shorter ones are fewer, but more are seen twice by chance.
 ANCHOR = 10
@@ -281,18 +281,19 @@ def repeated_spans(documents: DataFrame, window: int = 35) -> DataFrame:
     anchor = min(ANCHOR, window)
     docs = _keyed(documents)
     sites = stored(_sites(docs, window, anchor), "substring-sites")
-    # Cut, so that the join reads two plain exchanges, of which Spark can split the partition of a frequent anchor.
-    twice = cut(sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot")))
-    chosen = cut(sites.join(twice, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("anchor", "lo", "n", "hot")).alias("sites")))  # of one document
+    # Stored, so that the join reads two plain exchanges, of which Spark can split the partition of a frequent anchor.
+    twice = stored(sites.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", (F.col("c") > HOT).alias("hot")), "substring-anchors")
+    chosen = stored(sites.join(twice, "anchor").groupBy("d", "h").agg(F.collect_set(F.struct("anchor", "lo", "n", "hot")).alias("sites")), "substring-chosen")  # of one document
     discard(sites)
     pieces = stored(_pieces(docs.select("d", "h", "text").join(chosen, ["d", "h"]).select("d", "h", "text", "sites"), window), "substring-pieces")
     normal = pieces.where("NOT hot").select("anchor", "digest", "piece").repartition("anchor").sortWithinPartitions("anchor", "digest")
     counted = pieces.where("hot").groupBy("digest", "piece").agg(F.count("*").alias("n"))
-    flags = cut(_shards(normal, window).unionByName(_hot_shards(counted, window)))
+    flags = stored(_shards(normal, window).unionByName(_hot_shards(counted, window)), "substring-flags")
     placed = pieces.select("digest", "d", "h", "lo").join(flags, "digest")
     moved = placed.select("d", "h", F.transform("s", lambda x: x + F.col("lo")).alias("s"), F.transform("e", lambda x: x + F.col("lo")).alias("e"))
-    spans = cut(moved.groupBy("d", "h").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e")))  # of one document
-    discard(pieces)
+    spans = stored(moved.groupBy("d", "h").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e")), "substring-spans")  # of one document
+    for x in (pieces, chosen, twice, flags):
+        discard(x)
     return spans
 
 
