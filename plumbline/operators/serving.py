@@ -52,7 +52,8 @@ def comparisons(pairs: DataFrame, scores: DataFrame, draws: DataFrame, entity: s
     """
     s = draws.select(F.col(entity).alias("e"), F.col(draw).alias("d"), F.col(score).alias("s"))
     x, y = s.select(F.col("e").alias("a"), "d", F.col("s").alias("sa")), s.select(F.col("e").alias("b"), "d", F.col("s").alias("sb"))
-    p = pairs.join(x, "a").join(y, ["b", "d"]).groupBy("a", "b").agg(F.avg((F.col("sa") > F.col("sb")).cast("double")).alias("p_a"), F.avg((F.col("sa") < F.col("sb")).cast("double")).alias("p_b"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("p_tie"))
+    # Spark takes a table of draws, which are exploded, to be as small as its entities, and would broadcast it.
+    p = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), ["b", "d"]).groupBy("a", "b").agg(F.avg((F.col("sa") > F.col("sb")).cast("double")).alias("p_a"), F.avg((F.col("sa") < F.col("sb")).cast("double")).alias("p_b"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("p_tie"))
     side = lambda n: scores.select(F.col(entity).alias(n), *[F.col(c).alias(f"{n}_{c}") for c in (*dimensions, "lower_90", "upper_90")])
     j = p.join(side("a"), "a").join(side("b"), "b")
     above = F.col("p_a") + F.col("p_tie") / 2

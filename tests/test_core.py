@@ -271,3 +271,15 @@ def test_sums_in_the_order_of_a_key(spark):
     for own in (rows, rows[::-1], rows[3:] + rows[:3]):
         df = spark.createDataFrame(own, "g int, k int, v double").coalesce(1)
         assert [tuple(r) for r in df.groupBy("g").agg(E.sum_by("v", "k"), E.avg_by("v", "k")).orderBy("g").collect()] == [(1, 0.25, 0.0625), (2, None, None)]
+
+
+def test_comparisons_never_broadcast_draws(spark, tmp_path):
+    """Entities in a small file, whose draws are many times their size."""
+    from plumbline.operators import serving as V
+
+    spark.range(50).selectExpr("id AS e", "id * 1.0D AS c", "1.0D AS w", "-1.0D AS lower_90", "9.0D AS upper_90").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    out = V.comparisons(e.selectExpr("e AS a", "e + 1 AS b"), e, X.draws(e, "e", "c", "w", 20), "e", "draw", "score", ["c"])
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and all("Inner, BuildLeft" not in x and "draw" not in x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+    assert out.count() == 49
