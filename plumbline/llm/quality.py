@@ -5,23 +5,32 @@ logistic function of the difference of their scores, and scores are linear in te
 the logistic loss on feature differences. Scores carry no origin, so a threshold is set at a quantile of the
 training scores, and a document's score is moved and squashed so that the threshold becomes `cut` (0.7).
 
+All labelled rows are learned from, whatever their number. Rows are dealt into blocks by a hash of their ids, and each
+is paired with PARTNERS rows of the other class in its block; a class too small for all blocks is in several. A round
+of the fit adds up gradient and curvature over all blocks, one small sum a task, and the threshold comes from the
+counts of both classes at every score.
+
 Features see the text alone and are counted over the whole of it, by bytes and by words.
 
 A null text is the empty text. Labels that are null or contradict each other are averaged and used only if
 that leaves 0 or 1; labels of absent documents and repeated rows change nothing (of several texts of one doc_id the
-least is learned from). Texts of any length are read whole. Where either class has no
+one with the least features is learned from). Texts of any length are read whole. Where either class has no
 training row, every document scores `cut` and is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts
+from plumbline.llm.common import discard, stored, texts
 
-#: Labelled rows of each class that a model is fitted on: the first by a hash of their ids.
-TRAIN_ROWS_PER_CLASS = 5_000
+#: Labelled rows of a block, within which rows are paired, and how many of each class it has at least, on average.
+BLOCK_ROWS = 4096
+BLOCK_LEAST = 64
 #: Documents labelled 0 that each one labelled 1 is paired with, and the other way round.
 PARTNERS = 4
 N_FEATURES = 22
@@ -69,60 +78,166 @@ def with_features(documents: DataFrame) -> DataFrame:
     return texts(documents).mapInArrow(run, "doc_id long, x array<double>")
 
 
-def fit_pairs(good, bad, rounds: int = 30, ridge: float = 1e-3, seed: int = 5):
-    """Weights of the logistic loss on the differences good - bad, by Newton steps."""
+def differences(good, bad, rng, n_good: int | None = None, n_bad: int | None = None):
+    """good - bad of PARTNERS pairs of each of the first n_good and n_bad rows (by default, of all)."""
+    import numpy as np
+
+    a, b = len(good) if n_good is None else n_good, len(bad) if n_bad is None else n_bad
+    i = np.concatenate([np.repeat(np.arange(a), PARTNERS), rng.integers(0, len(good), b * PARTNERS)])
+    j = np.concatenate([rng.integers(0, len(bad), a * PARTNERS), np.repeat(np.arange(b), PARTNERS)])
+    return good[i] - bad[j]
+
+
+def pair_sums(d, w):
+    """Number, loss, gradient (downhill) and curvature of the differences d at w, in one row."""
+    import numpy as np
+
+    m = d @ w
+    p = 1 / (1 + np.exp(np.clip(m, -30, 30)))  # of the wrong order
+    return np.concatenate([[len(d), np.logaddexp(0, -m).sum()], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def newton(sums, width: int, rounds: int = 30, ridge: float = 1e-3):
+    """The w of the least mean loss plus ridge; sums(w) is as of pair_sums. A step that doesn't lessen it is halved."""
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    i = np.concatenate([np.repeat(np.arange(len(good)), PARTNERS), rng.integers(0, len(good), len(bad) * PARTNERS)])
-    j = np.concatenate([rng.integers(0, len(bad), len(good) * PARTNERS), np.repeat(np.arange(len(bad)), PARTNERS)])
-    d, w = good[i] - bad[j], np.zeros(good.shape[1])
+    w, was, step, least = np.zeros(width), None, None, np.inf
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # of the wrong order
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), d.T @ p / len(d) - ridge * w)
-        w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(d @ step).max() / 8))
+        s = sums(w)
+        s, loss = s / s[0], s[1] / s[0] + ridge / 2 * w @ w
+        if loss > least + 1e-12:
+            step = step / 2
+        else:
+            was, least = w, loss
+            step = np.linalg.solve(s[2 + width :].reshape(width, width) + ridge * np.eye(width), s[2 : 2 + width] - ridge * w)
+        w = was + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def threshold(scores, labels) -> float:
-    """The quantile of the scores that parts the classes with the least share of errors in each, in the middle of equals."""
+def fit_pairs(good, bad, rounds: int = 30, ridge: float = 1e-3, seed: int = 5):
+    """Weights of the logistic loss on the differences good - bad, by Newton steps, of rows in memory."""
+    import numpy as np
+
+    d = differences(good, bad, np.random.default_rng(seed))
+    return newton(lambda w: pair_sums(d, w), good.shape[1], rounds, ridge)
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, use=None) -> DataFrame:
+    """doc_id, x (features) and y (0 or 1) of every labelled document; `use` is a condition on doc_id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
+    own = texts(documents).where("doc_id IS NOT NULL")
+    if use is not None:
+        known, own = known.where(use), own.where(use)
+    known = known.groupBy("doc_id").agg(F.avg("y").alias("y")).where("y IN (0, 1)")
+    once = with_features(own).groupBy("doc_id").agg(F.min("x").alias("x"))  # a repeated row counts once; features are shuffled, not texts
+    return once.join(known, "doc_id")
+
+
+def _matrix(column, mean, scale):
+    """The standardized features of an Arrow column of lists."""
     import numpy as np
 
-    order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
-    lost = np.concatenate([[0], np.cumsum(y == 1)]) / max(1, (y == 1).sum())
-    kept = ((y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)])) / max(1, (y == 0).sum())
-    cost = 2 * lost + kept
-    best = np.nonzero(cost <= cost.min() + 1e-12)[0]
-    k = int(best[len(best) // 2])
-    return float(s[0] - 1 if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2)
+    return np.clip((column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES) - mean) / scale, -8, 8)
+
+
+def blocks(rows: DataFrame, n_good: int, n_bad: int, mean, scale) -> DataFrame:
+    """g, own_good, own_bad, good, bad: the standardized features of the rows dealt to each block, those first that have their pairs there."""
+    import numpy as np
+
+    n = math.ceil((n_good + n_bad) / BLOCK_ROWS)
+    copies = [min(n, max(1, math.ceil(BLOCK_LEAST * n / k))) for k in (n_bad, n_good)]
+    times = F.when(F.col("y") == 1, copies[1]).otherwise(copies[0])
+    dealt = rows.select("doc_id", "x", "y", F.explode(F.sequence(F.lit(0), times - 1)).alias("copy"))
+    dealt = dealt.withColumn("g", F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(n)) + F.col("copy"), F.lit(n)))
+
+    def block(key, table):
+        import pyarrow as pa
+
+        table = table.combine_chunks().sort_by([("copy", "ascending"), ("doc_id", "ascending")])
+        z, y, own = _matrix(table["x"].combine_chunks(), mean, scale), table["y"].to_numpy(), table["copy"].to_numpy() == 0
+        values = [key[0].as_py(), int((own & (y == 1)).sum()), int((own & (y == 0)).sum()), z[y == 1].astype(np.float64).tobytes(), z[y == 0].astype(np.float64).tobytes()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["g", "own_good", "own_bad", "good", "bad"])
+
+    return dealt.groupBy("g").applyInArrow(block, "g long, own_good long, own_bad long, good binary, bad binary")
+
+
+def fit_blocks(dealt: DataFrame, seed: int = 5):
+    """fit_pairs over the pairs of all blocks."""
+    import numpy as np
+
+    def sums(w):
+        def run(batches):
+            import pyarrow as pa
+
+            out, first = None, None
+            for b in batches:
+                for r in b.to_pylist():
+                    good, bad = (np.frombuffer(r[k], np.float64).reshape(-1, N_FEATURES) for k in ("good", "bad"))
+                    if len(good) and len(bad):
+                        own = pair_sums(differences(good, bad, np.random.default_rng([seed, r["g"]]), r["own_good"], r["own_bad"]), w)
+                        out, first = (own, r["g"]) if out is None else (out + own, min(first, r["g"]))
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([out], pa.list_(pa.float64()))], ["g", "s"])
+
+        parts = dealt.mapInArrow(run, "g long, s array<double>").collect()  # one row a task
+        return np.sum([r.s for r in sorted(parts, key=lambda r: r.g)], axis=0)
+
+    return newton(sums, N_FEATURES)
+
+
+def threshold(scored: DataFrame) -> float:
+    """Where the scores (s, y) are best parted: twice the share of lost 1s and the share of kept 0s are least together. Of equals, in the widest gap.
+
+    The costs of all cuts between different scores, in whole numbers: ranges of scores are summed up first, then each is gone through from what is before it.
+    """
+    count = lambda y: F.sum(F.when(F.col("y") == y, 1).otherwise(0))
+    each = stored(scored.groupBy("s").agg(count(1).alias("good"), count(0).alias("bad")).repartitionByRange("s").withColumn("part", F.spark_partition_id()), "quality-scores")
+    parts = sorted(each.groupBy("part").agg(F.min("s").alias("least"), F.max("s").alias("most"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda r: r.least)
+    before, good, bad, last = [], 0, 0, None
+    for r in parts:
+        before.append((r.part, good, bad, last))
+        good, bad, last = good + r.good, bad + r.bad, r.most
+    offsets = scored.sparkSession.createDataFrame(before, "part int, good0 long, bad0 long, last double")  # a row a range
+    order = W.partitionBy("part").orderBy("s")
+    past = order.rowsBetween(W.unboundedPreceding, -1)
+    summed = each.select("part", "s", F.coalesce(F.sum("good").over(past), F.lit(0)).alias("good"), F.coalesce(F.sum("bad").over(past), F.lit(0)).alias("bad"), F.lag("s").over(order).alias("prev"))
+    cuts = summed.join(F.broadcast(offsets), "part").select("s", F.coalesce("prev", "last").alias("prev"), (2 * bad * (F.col("good") + F.col("good0")) + good * (bad - F.col("bad") - F.col("bad0"))).alias("cost"))
+    best = cuts.agg(F.min(F.struct("cost", F.coalesce(F.col("prev") - F.col("s"), F.lit(0.0)).alias("gap"), "s", "prev")).alias("x")).first().x
+    discard(each)
+    if best.prev is None:
+        return best.s - 1
+    at = (best.prev + best.s) / 2
+    return at if at > best.prev else best.s
 
 
 def fit(documents: DataFrame, labels: DataFrame, use=None) -> dict | None:
-    """The model, from at most TRAIN_ROWS_PER_CLASS labelled documents of each class; `use` is a condition on doc_id."""
+    """The model, from all labelled documents; `use` is a condition on doc_id."""
     import numpy as np
 
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    if use is not None:
-        known = known.where(use)
-    known = known.groupBy("doc_id").agg(F.avg("y").alias("y"))
-    picked = None
-    for y in (0.0, 1.0):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS_PER_CLASS)
-        picked = part if picked is None else picked.unionByName(part)
-    chosen = texts(documents).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # at most two classes of TRAIN_ROWS_PER_CLASS ids
-    own = with_features(chosen.groupBy("doc_id").agg(F.min("text").alias("text")))  # a repeated row counts once
-    rows = own.join(picked, "doc_id").orderBy("doc_id").limit(2 * TRAIN_ROWS_PER_CLASS).collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, N_FEATURES), np.array([r.y for r in rows])
-    if not (y == 1).any() or not (y == 0).any():
+    rows = stored(training_rows(documents, labels, use), "quality-rows")
+    features_of = [F.get("x", F.lit(i)) for i in range(N_FEATURES)]
+    found = rows.agg(F.count(F.when(F.col("y") == 1, 1)).alias("good"), F.count(F.when(F.col("y") == 0, 1)).alias("bad"), F.array(*map(F.avg, features_of)).alias("mean"), F.array(*map(F.stddev_pop, features_of)).alias("scale")).first()
+    if not found.good or not found.bad:
+        discard(rows)
         return None
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.clip((x - mean) / scale, -8, 8)
-    w = fit_pairs(z[y == 1], z[y == 0])
-    s = z @ w
-    return {"mean": mean, "scale": scale, "w": w, "at": threshold(s, y)}
+    whole = lambda v: np.array([float(f"{x:.10g}") for x in v])  # noqa: E731  # the order of sums shows in the last digits alone
+    mean, scale = whole(found.mean), np.maximum(whole(found.scale), 1e-6)
+    dealt = stored(blocks(rows, found.good, found.bad, mean, scale), "quality-blocks")
+    w = fit_blocks(dealt)
+    discard(dealt)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_matrix(b.column(0), mean, scale) @ w), b.column(1)], ["s", "y"])
+
+    at = threshold(rows.select("x", "y").mapInArrow(run, "s double, y double"))
+    discard(rows)
+    return {"mean": mean, "scale": scale, "w": w, "at": at}
 
 
 def score(documents: DataFrame, model: dict | None, cut: float = 0.7) -> DataFrame:

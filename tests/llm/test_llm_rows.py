@@ -84,6 +84,57 @@ def test_scores_against_a_plain_reading(spark):
         assert abs(got[i] - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) < 1e-12
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """More than 5,000 of a class, beyond which rows were once left out."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["Good", "words", "here.", "!!"], int(rng.integers(1, 9))))) for i in range(5300)] + [(9000, "Z"), (9001, "## Y")]
+    y = [0 if i % 50 == 0 else 1 for i in range(5300)] + [0, 1]
+    labels = spark.createDataFrame([(i, k) for (i, _), k in zip(rows, y, strict=True)], "doc_id long, quality int")
+    model = quality.fit(docs(spark, rows), labels)
+    x = np.array([quality.features(t) for _, t in rows])
+    assert np.allclose(model["mean"], x.mean(axis=0), rtol=1e-9) and np.allclose(model["scale"], np.maximum(x.std(axis=0), 1e-6), rtol=1e-9)
+    s = np.clip((x - model["mean"]) / model["scale"], -8, 8) @ model["w"]
+    cost = lambda at: 2 * np.mean(s[np.array(y) == 1] < at) + np.mean(s[np.array(y) == 0] >= at)
+    assert cost(model["at"]) <= min(cost((a + b) / 2) for a, b in zip(np.unique(s), np.unique(s)[1:], strict=False)) + 1e-9
+
+
+@pytest.mark.parametrize("n_good,n_bad", [(150, 140), (2, 300), (300, 1), (3, 3)])
+def test_every_row_has_its_pairs_in_one_block(spark, monkeypatch, n_good, n_bad):
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(quality, "BLOCK_LEAST", 16)
+    rng = np.random.default_rng(n_good)
+    y = [1.0] * n_good + [0.0] * n_bad
+    x = rng.normal(size=(len(y), quality.N_FEATURES)) + np.array(y)[:, None] * 0.4
+    rows = spark.createDataFrame([(i, [float(v) for v in r], k) for i, (r, k) in enumerate(zip(x, y, strict=True))], "doc_id long, x array<double>, y double")
+    dealt = quality.blocks(rows.repartition(3), n_good, n_bad, np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES)).cache()
+    got = {1: [], 0: []}
+    pairs = []
+    for r in dealt.collect():
+        good, bad = (np.frombuffer(r[k], np.float64).reshape(-1, quality.N_FEATURES) for k in ("good", "bad"))
+        assert len(good) and len(bad)
+        got[1] += [tuple(v) for v in good[: r.own_good]]
+        got[0] += [tuple(v) for v in bad[: r.own_bad]]
+        pairs.append(quality.differences(good, bad, np.random.default_rng([5, r.g]), r.own_good, r.own_bad))
+    for k in (1, 0):
+        assert sorted(got[k]) == sorted(tuple(v) for v, label in zip(np.clip(x, -8, 8), y, strict=True) if label == k)
+    d = np.concatenate(pairs)
+    assert len(d) == quality.PARTNERS * len(y)
+    w = quality.fit_blocks(dealt)
+    p = 1 / (1 + np.exp(d @ w))
+    assert np.abs(d.T @ p / len(d) - 1e-3 * w).max() < 1e-6  # the loss is least where its slope is zero
+
+
+def test_threshold_against_all_cuts(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 9, 400):
+        s, y = np.round(rng.normal(size=n), 1), (np.arange(n) % 3 == 0).astype(float)
+        s = s + y * 0.5
+        at = quality.threshold(spark.createDataFrame([(float(a), float(b)) for a, b in zip(s, y, strict=True)], "s double, y double").repartition(3))
+        cost = lambda c: 2 * np.mean(s[y == 1] < c) + np.mean(s[y == 0] >= c)
+        v = np.unique(s)
+        assert abs(cost(at) - min(cost(c) for c in [v[0] - 1, *(v[1:] + v[:-1]) / 2])) < 1e-12
+
+
 def test_rules_that_repeat_and_pages_without_ids(spark):
     pages = spark.createDataFrame([(None, "http://a.com/x", "h"), (1, "http://a.com/x", "h"), (1, None, "h"), (2, "nothing", "h")], "page_id long, url string, host string")
     rules = urls.rules_table(spark, [("block", "a.com/x"), ("allow", "a.com/x"), ("block", "com/")])
